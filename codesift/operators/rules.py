@@ -134,42 +134,52 @@ def file_hits(content: Column, rules: RuleSet) -> Column:
     return F.flatten(F.transform(lines, lambda line, number: _line_hits(line, number, native)))
 
 
-def _python_hits(files: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Hits of rules that only Python's regular expressions can express."""
+def _add_python_hits(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Append the hits of rules that only Python's regular expressions can express."""
     patterns = [(rule.rule_id, rule.pattern) for rule in rules]
-    names = ["repo_id", "rel_path", "rule_id", "line", "match", "start", "end"]
+    names = rows.columns
+    text_at, hits_at = names.index("content"), names.index("hits")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = [(rule_id, re.compile(pattern, re.IGNORECASE)) for rule_id, pattern in patterns]
-        schema = pa.schema(list(zip(names, [pa.string()] * 2 + [pa.int32()] * 2 + [pa.string()] + [pa.int32()] * 2)))
         for batch in batches:
-            rows = [
-                dict(zip(names, (repo, path, rule_id, number, hit.group(), hit.start(), hit.end())))
-                for repo, path, content in zip(*(column.to_pylist() for column in batch.columns))
-                for number, line in enumerate((content or "").split("\n"), 1)
-                for rule_id, regex in compiled
-                for hit in regex.finditer(line)
-            ]
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    ddl = "repo_id string, rel_path string, rule_id int, line int, match string, start int, end int"
-    return files.select("repo_id", "rel_path", "content").mapInArrow(search, ddl)
+            hits = batch.column(hits_at).to_pylist()
+            for row, content in enumerate(batch.column(text_at).to_pylist()):
+                hits[row] = (hits[row] or []) + [
+                    {"rule_id": rule_id, "line": number, "match": hit.group(), "start": hit.start(), "end": hit.end()}
+                    for number, line in enumerate((content or "").split("\n"), 1)
+                    for rule_id, regex in compiled
+                    for hit in regex.finditer(line)
+                ]
+            columns = list(batch.columns)
+            columns[hits_at] = pa.array(hits, batch.schema.field(hits_at).type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return rows.mapInArrow(search, rows.schema)
+
+
+def with_hits(files: DataFrame, rules: RuleSet) -> DataFrame:
+    """Add ``hits``, all matches in a file as an array; the file bounds its length."""
+    rows = files.withColumn("hits", file_hits(F.col("content"), rules))
+    others = [rule for rule in rules.rules if not rule.native]
+    return _add_python_hits(rows, others) if others else rows
 
 
-def scan(files: DataFrame, rules: RuleSet | None = None) -> DataFrame:
+def explode_hits(rows: DataFrame, rules: RuleSet) -> DataFrame:
     """``pattern_hits(repo_id, rel_path, rule_id, pattern, line, match, start, end)``."""
-    rules = default_rules() if rules is None else rules
-    hits = files.select("repo_id", "rel_path", F.inline(file_hits(F.col("content"), rules)))
-    others = [rule for rule in rules.rules if not rule.native]
-    columns = ["repo_id", "rel_path", "rule_id", "line", "match", "start", "end"]
-    if others:
-        hits = hits.select(columns).unionByName(_python_hits(files, others))
-    pattern = F.lit(None).cast("string")
+    pattern = F.when(F.lit(False), F.lit(""))
     for rule in rules.rules:
-        pattern = F.when(F.col("rule_id") == rule.rule_id, F.lit(rule.pattern)).otherwise(pattern)
+        pattern = pattern.when(F.col("rule_id") == rule.rule_id, F.lit(rule.pattern))
+    hits = rows.select("repo_id", "rel_path", F.inline("hits"))
     return hits.select("repo_id", "rel_path", "rule_id", pattern.alias("pattern"), "line", "match", "start", "end")
 
 
+def scan(files: DataFrame, rules: RuleSet | None = None) -> DataFrame:
+    """All matches of all rules in the lines of the files."""
+    rules = default_rules() if rules is None else rules
+    return explode_hits(with_hits(files.select("repo_id", "rel_path", "content"), rules), rules)
+
+
 def hits_per_file(hits: DataFrame) -> DataFrame:
     return hits.groupBy("repo_id", "rel_path").agg(F.count("*").alias("hits"))
 

@@ -47,18 +47,19 @@ def type_title(vulnerability_type: Column) -> Column:
     return title(F.replace(vulnerability_type, F.lit("_"), F.lit(" ")))
 
 
-def round2(value: Column) -> Column:
-    """Round a double to two decimals by its exact binary value, ties to even.
+def _round_exact(value: Column, scale: float) -> Column:
+    """Round a double to ``1 / scale`` by its exact binary value, ties to even.
 
-    ``value * 100`` may land on a tie only because the product was rounded, so the
+    ``value * scale`` may land on a tie only because the product was rounded, so the
     error of the product (Dekker's split) decides in that case.
     """
-    product = value * F.lit(100.0)
+    factor = F.lit(scale)
+    product = value * factor
     head = value * F.lit(134217729.0)
     high = head - (head - value)
     low = value - high
-    # 100 fits in the high half of the split, so both partial products are exact.
-    error = (high * F.lit(100.0) - product) + low * F.lit(100.0)
+    # The scale fits in half a mantissa, so both partial products are exact.
+    error = (high * factor - product) + low * factor
     below = F.floor(product).cast("double")
     nearest = (
         F.when(product - below != F.lit(0.5), F.rint(product))
@@ -66,7 +67,11 @@ def round2(value: Column) -> Column:
         .when(error < 0, below)
         .otherwise(F.rint(product))
     )
-    return F.when(F.abs(value) < F.lit(1e13), nearest / F.lit(100.0)).otherwise(value)
+    return F.when(F.abs(value) < F.lit(1e13), nearest / factor).otherwise(value)
+
+
+def round2(value: Column) -> Column:
+    return _round_exact(value, 100.0)
 
 
 def stable_round2(value: Column) -> Column:
@@ -74,6 +79,10 @@ def stable_round2(value: Column) -> Column:
     return round2(F.round(value, 10))
 
 
+def one_decimal(value: Column) -> Column:
+    return F.format_string("%.1f", _round_exact(value, 10.0))
+
+
 def two_decimals(value: Column) -> Column:
     return F.format_string("%.2f", round2(value))
 

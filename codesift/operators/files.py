@@ -49,8 +49,8 @@ def repo_sizes(files: DataFrame) -> DataFrame:
 
 def oversized_repos(files: DataFrame, max_mb: float = settings.MAX_REPO_SIZE_MB) -> DataFrame:
     """Rejected repositories with the message that says why."""
-    message = F.format_string(
-        "Repository size (%.1fMB) exceeds limit (%sMB)", F.col("size_mb"), F.lit(str(max_mb))
+    message = F.concat(
+        F.lit("Repository size ("), text.one_decimal(F.col("size_mb")), F.lit(f"MB) exceeds limit ({max_mb}MB)")
     )
     return repo_sizes(files).where(F.col("size_mb") > max_mb).withColumn("error", message)
 
@@ -68,7 +68,9 @@ def analyzable(files: DataFrame, max_kb: float = settings.MAX_FILE_SIZE_KB) -> D
 def skipped_large(files: DataFrame, max_kb: float = settings.MAX_FILE_SIZE_KB) -> DataFrame:
     """Files over the limit with the warning text."""
     size_kb = F.col("size_bytes") / 1024
-    warning = F.format_string("Skipping large file: %s (%.1fKB)", F.col("rel_path"), size_kb)
+    warning = F.concat(
+        F.lit("Skipping large file: "), F.col("rel_path"), F.lit(" ("), text.one_decimal(size_kb), F.lit("KB)")
+    )
     return files.where(size_kb > max_kb).select("repo_id", "rel_path", "size_bytes", warning.alias("warning"))
 
 

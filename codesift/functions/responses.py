@@ -2,27 +2,30 @@
 
 A response holds a JSON array somewhere in free text.  Elements are read with the
 variant functions, which keep the kind of every value: a missing key takes its
-default, an explicit null or a value of the wrong kind makes the element bad.
+default, an explicit null or a value of the wrong kind makes the element bad.  The
+expressions over elements are SQL text, so that each is parsed in one step.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from codesift import settings
-from codesift.functions import scores
 
 _STRICT = {"allowSingleQuotes": "false"}
-_FLOAT = r"(?i)^\s*[+-]?((\d+(_\d+)*)?\.?(\d+(_\d+)*)?(e[+-]?\d+(_\d+)*)?|inf|infinity)\s*$"
-_INTEGRAL = r"^\s*[+-]?\d+(_\d+)*(\.0*)?\s*$"
-
-FINDING_TYPE = (
-    "struct<line_number:bigint,vulnerability_type:string,severity:string,confidence:double,"
-    "description:string,code_snippet:string,recommendation:string,cwe_id:string,"
-    "detection_method:string,zero_day_likelihood:double>"
+_SEAL = "~end of array~"
+_FLOAT = r"r'(?i)^\s*[+-]?((\d+(_\d+)*)?\.?(\d+(_\d+)*)?(e[+-]?\d+(_\d+)*)?|inf|infinity)\s*$'"
+_INTEGRAL = r"r'^\s*[+-]?\d+(_\d+)*(\.0*)?\s*$'"
+_KEYS = (
+    "vulnerability_type", "severity", "confidence", "description", "zero_day_likelihood",
+    "line_number", "code_snippet", "recommendation", "cwe_id", "detection_method",
+)
+_ITEMS_TYPE = "array<struct<" + ",".join(f"{key}:variant" for key in _KEYS) + ">>"
+READ_TYPE = (
+    "struct<is_text:boolean,line_number:bigint,vulnerability_type:string,severity:string,"
+    "confidence:double,description:string,code_snippet:string,recommendation:string,cwe_id:string,"
+    "method:string,zero_day_likelihood:double>"
 )
 
 
@@ -33,159 +36,110 @@ def array_slice(response: Column) -> Column:
     return F.when((first > 0) & (last > first), F.substring(response, first, last - first + 1))
 
 
-def decoded_texts(array_text: Column) -> Column:
-    """Element texts of a strictly valid JSON array, else null.
+def sealed_variant(cut: Column) -> Column:
+    """The span and a closing mark, parsed as one JSON array of two elements.
 
-    ``from_json`` ignores text after the first value, so the array is parsed inside
-    two different wrappers; trailing text cannot be valid in both.
+    The parser ignores text after the first value; a span with such text does not reach
+    the mark.
     """
-    as_field = F.from_json(F.concat(F.lit('{"v":'), array_text, F.lit("}")), "v array<string>", _STRICT)["v"]
-    as_item = F.from_json(F.concat(F.lit("["), array_text, F.lit("]")), "array<string>", _STRICT)
-    return F.when(F.size(as_item) == 1, as_field)
-
-
-def elements(array_text: Column, texts: Column) -> Column:
-    """The array's elements as variants; null for an element with NaN or a repeated key."""
-    whole = F.try_variant_get(F.try_parse_json(array_text), "$", "array<variant>")
-    return F.coalesce(whole, F.transform(texts, F.try_parse_json))
-
-
-def _kind(element: Column, key: str) -> Column:
-    """Kind of the value under a key: null if the key is missing, VOID for JSON null."""
-    return F.schema_of_variant(F.try_variant_get(element, f"$.{key}", "variant"))
-
-
-def _text(element: Column, key: str) -> Column:
-    return F.try_variant_get(element, f"$.{key}", "string")
-
-
-_KEYS = (
-    "vulnerability_type", "severity", "confidence", "description", "zero_day_likelihood",
-    "line_number", "code_snippet", "recommendation", "cwe_id", "detection_method",
-)
+    return F.try_parse_json(F.concat(F.lit("["), cut, F.lit(f',"{_SEAL}"]')))
 
 
-def fields(items: Column) -> Column:
-    """Per element: whether it is an object, and kind and text of every known key."""
+def _decoded_texts(cut: Column) -> Column:
+    """Element texts of a strictly valid array, else null: the way for arrays with NaN or
+    repeated keys, which variants cannot hold.
 
-    def read(element: Column) -> Column:
-        columns = [F.coalesce(F.startswith(F.schema_of_variant(element), F.lit("OBJECT")), F.lit(False)).alias("is_object")]
-        for key in _KEYS:
-            columns += [_kind(element, key).alias(f"{key}_kind"), _text(element, key).alias(key)]
-        return F.struct(*columns)
-
-    return F.transform(items, read)
-
-
-def _number(item: Column, key: str, default: float) -> Column:
-    """Value of a number-like field; null if it cannot be read as a number."""
-    kind, text = item[f"{key}_kind"], item[key]
-    return (
-        F.when(kind.isNull(), F.lit(default))
-        .when(kind == "BOOLEAN", F.when(text == "true", F.lit(1.0)).otherwise(F.lit(0.0)))
-        .when((kind == "VOID") | kind.rlike("^(OBJECT|ARRAY)"), F.lit(None).cast("double"))
-        .when(text.rlike(_FLOAT), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
-    )
+    The array is parsed inside two different wrappers; trailing text cannot be valid in
+    both.
+    """
+    as_field = F.from_json(F.concat(F.lit('{"v":'), cut, F.lit("}")), "v array<string>", _STRICT)["v"]
+    as_item = F.from_json(F.concat(F.lit("["), cut, F.lit("]")), "array<string>", _STRICT)
+    return F.when(F.size(as_item) == 1, as_field)
 
 
-def _line_number(item: Column) -> Column:
-    kind, text = item["line_number_kind"], item["line_number"]
-    as_decimal = F.replace(text, F.lit("_"), F.lit("")).try_cast("double")
-    return (
-        F.when(kind == "BOOLEAN", F.when(text == "true", F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
-        .when((kind == "STRING") & text.rlike(_INTEGRAL), as_decimal.try_cast("bigint"))
-        .when((kind != "STRING") & (as_decimal == F.floor(as_decimal)), as_decimal.try_cast("bigint"))
+def items(cut: Column, sealed: Column) -> Column:
+    """Elements with their known keys as variants; null for an element that is no object,
+    or has NaN or a repeated key.  The array is null if the span is not valid JSON."""
+    reached = ~cut.contains(_SEAL) & (F.try_variant_get(sealed, "$[1]", "string") == _SEAL)
+    whole = F.when(reached, F.try_variant_get(sealed, "$[0]", _ITEMS_TYPE))
+    element = _ITEMS_TYPE.removeprefix("array<").removesuffix(">")
+    one_by_one = F.transform(
+        _decoded_texts(cut), lambda text: F.try_variant_get(F.try_parse_json(text), "$", element)
     )
+    return F.coalesce(whole, one_by_one)
 
 
-def _plain(item: Column, key: str) -> Column:
-    """A required text: missing takes the default, anything but a string is bad."""
-    kind = item[f"{key}_kind"]
-    return kind.isNull() | (kind == "STRING")
+def _text(key: str) -> str:
+    return f"try_variant_get(x.{key}, '$', 'string')"
 
 
-def _optional(item: Column, key: str) -> Column:
-    kind = item[f"{key}_kind"]
-    return kind.isNull() | kind.isin("STRING", "VOID")
+def _kind_in(key: str, *kinds: str) -> str:
+    listed = ", ".join(f"'{kind}'" for kind in kinds)
+    return f"(x.{key} IS NULL OR schema_of_variant(x.{key}) IN ({listed}))"
 
 
-def is_valid(item: Column, kind: Column) -> Column:
-    """Whether an element yields a finding for the given prompt kind."""
-    shared = (
-        item["is_object"]
-        & _number(item, "confidence", 0.5).isNotNull()
-        & _plain(item, "vulnerability_type")
-        & _plain(item, "severity")
-        & _plain(item, "description")
-    )
-    line_kind = item["line_number_kind"]
-    analysis = (
-        (line_kind.isNull() | (line_kind == "VOID") | _line_number(item).isNotNull())
-        & _optional(item, "code_snippet")
-        & _optional(item, "recommendation")
-        & _optional(item, "cwe_id")
-    )
-    novel = _number(item, "zero_day_likelihood", 0.0).isNotNull()
-    return F.coalesce(shared & F.when(kind == "analysis", analysis).otherwise(novel), F.lit(False))
+def _number(key: str, default: float) -> str:
+    """Value of a number-like field; null if it cannot be read as a number."""
+    return f"""CASE WHEN x.{key} IS NULL THEN CAST({default} AS DOUBLE)
+        WHEN schema_of_variant(x.{key}) <> 'STRING' THEN try_variant_get(x.{key}, '$', 'double')
+        WHEN {_text(key)} RLIKE {_FLOAT} THEN try_cast(replace({_text(key)}, '_', '') AS DOUBLE) END"""
+
+
+_LINE = f"""CASE WHEN x.line_number IS NULL THEN CAST(NULL AS BIGINT)
+        WHEN schema_of_variant(x.line_number) <> 'STRING'
+        THEN if(try_variant_get(x.line_number, '$', 'double') = floor(try_variant_get(x.line_number, '$', 'double')),
+                try_variant_get(x.line_number, '$', 'bigint'), NULL)
+        WHEN {_text('line_number')} RLIKE {_INTEGRAL}
+        THEN try_cast(try_cast(replace({_text('line_number')}, '_', '') AS DOUBLE) AS BIGINT) END"""
+
+_READ = f"""named_struct(
+    'is_text', false,
+    'line_number', {_LINE},
+    'vulnerability_type', {_text('vulnerability_type')},
+    'severity', {_text('severity')},
+    'confidence', {_number('confidence', 0.5)},
+    'description', {_text('description')},
+    'code_snippet', {_text('code_snippet')},
+    'recommendation', {_text('recommendation')},
+    'cwe_id', {_text('cwe_id')},
+    'method', {_text('detection_method')},
+    'zero_day_likelihood', {_number('zero_day_likelihood', 0.0)})"""
+
+_SHARED = " AND ".join(_kind_in(key, "STRING") for key in ("vulnerability_type", "severity", "description"))
+_OPTIONAL = " AND ".join(_kind_in(key, "STRING", "VOID") for key in ("code_snippet", "recommendation", "cwe_id"))
+
+
+def read() -> Column:
+    """Elements of ``items`` as ``READ_TYPE`` rows; null for an element that gives no finding.
+
+    Only the values that the prompt kind uses can make an element bad.
+    """
+    return F.expr(f"""transform(
+        transform(items, x -> named_struct(
+            'kinds_ok', x IS NOT NULL AND {_SHARED} AND (kind <> 'analysis' OR {_OPTIONAL}),
+            'no_line', {_kind_in('line_number', 'VOID')},
+            'row', {_READ})),
+        y -> if(y.kinds_ok AND y.row.confidence IS NOT NULL AND if(kind = 'analysis',
+                y.no_line OR y.row.line_number IS NOT NULL, y.row.zero_day_likelihood IS NOT NULL), y.row, NULL))""")
 
 
-def valid_prefix(items: Column, kind: Column) -> Column:
+def valid_prefix(findings: Column) -> Column:
     """Elements before the first bad one."""
-    first_bad = F.array_position(F.transform(items, lambda item: is_valid(item, kind)), False)
-    return F.slice(items, 1, F.when(first_bad == 0, F.size(items)).otherwise(first_bad - 1).cast("int"))
-
-
-def to_finding(
-    item: Column,
-    kind: Column,
-    assess: Callable[[Column, Column], Column] = scores.confidence_floor,
-) -> Column:
-    """One element as a finding; the assessed floor applies to the analysis kind only."""
-    is_analysis = kind == "analysis"
-    declared = _number(item, "confidence", 0.5)
-    severity = F.coalesce(item["severity"], F.lit("medium"))
-    method = F.when(item["detection_method_kind"] == "STRING", item["detection_method"])
-
-    def analysis_only(value: Column) -> Column:
-        return F.when(is_analysis, value)
-
-    return F.struct(
-        analysis_only(_line_number(item)).alias("line_number"),
-        F.coalesce(
-            item["vulnerability_type"],
-            F.when(is_analysis, F.lit("unknown")).otherwise(F.lit("zero_day_pattern")),
-        ).alias("vulnerability_type"),
-        severity.alias("severity"),
-        F.when(is_analysis, F.greatest(declared, assess(severity, method))).otherwise(declared).alias("confidence"),
-        F.coalesce(item["description"], F.lit("")).alias("description"),
-        analysis_only(item["code_snippet"]).alias("code_snippet"),
-        analysis_only(item["recommendation"]).alias("recommendation"),
-        analysis_only(item["cwe_id"]).alias("cwe_id"),
-        F.when(is_analysis, F.lit("llm_analysis")).otherwise(F.lit("zero_day_analysis")).alias("detection_method"),
-        F.when(is_analysis, F.lit(0.0)).otherwise(_number(item, "zero_day_likelihood", 0.0)).alias("zero_day_likelihood"),
-    ).cast(FINDING_TYPE)
+    first_bad = F.array_position(F.transform(findings, F.isnull), True)
+    return F.slice(findings, 1, F.when(first_bad == 0, F.size(findings)).otherwise(first_bad - 1).cast("int"))
 
 
 def mentions_vulnerability(response: Column) -> Column:
     return F.lower(response).rlike("|".join(settings.FALLBACK_WORDS))
 
 
-def fallback_finding(response: Column) -> Column:
-    """Finding for an undecodable response that names a weakness in its text."""
-    def none(kind: str) -> Column:
-        return F.lit(None).cast(kind)
-
+def fallback(response: Column) -> Column:
+    """Row for an undecodable response that names a weakness in its text."""
+    description = F.concat(
+        F.lit(settings.FALLBACK_PREFIX), F.left(response, F.lit(settings.FALLBACK_CHARS)), F.lit("...")
+    )
+    none = F.lit(None)
     return F.struct(
-        none("bigint").alias("line_number"),
-        F.lit("potential_vulnerability").alias("vulnerability_type"),
-        F.lit("medium").alias("severity"),
-        F.lit(0.3).alias("confidence"),
-        F.concat(
-            F.lit(settings.FALLBACK_PREFIX), F.left(response, F.lit(settings.FALLBACK_CHARS)), F.lit("...")
-        ).alias("description"),
-        none("string").alias("code_snippet"),
-        none("string").alias("recommendation"),
-        none("string").alias("cwe_id"),
-        F.lit("text_analysis").alias("detection_method"),
-        F.lit(0.0).alias("zero_day_likelihood"),
-    ).cast(FINDING_TYPE)
+        F.lit(True), none, F.lit("potential_vulnerability"), F.lit("medium"), F.lit(0.3), description,
+        none, none, none, none, F.lit(0.0),
+    ).cast(READ_TYPE)

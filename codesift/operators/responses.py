@@ -21,27 +21,41 @@ def parse_responses(
     A failed scorer call has a null response and gives nothing.
     """
     kind = F.col("kind")
-    cut = responses.select("repo_id", "rel_path", "kind", "response", parse.array_slice(F.col("response")).alias("cut"))
-    decoded = cut.withColumn("texts", parse.decoded_texts(F.col("cut")))
-    items = decoded.withColumn("items", parse.fields(parse.elements(F.col("cut"), F.col("texts"))))
-    none = F.array().cast(f"array<{parse.FINDING_TYPE}>")
-    from_items = F.transform(
-        parse.valid_prefix(F.col("items"), kind), lambda item: parse.to_finding(item, kind, assess)
+    rows = (
+        responses.select("repo_id", "rel_path", "kind", "response", parse.array_slice(F.col("response")).alias("cut"))
+        .withColumn("sealed", parse.sealed_variant(F.col("cut")))
+        .withColumn("items", parse.items(F.col("cut"), F.col("sealed")))
+        .withColumn("read", parse.read())
     )
+    none = F.array().cast(f"array<{parse.READ_TYPE}>")
     from_text = F.when(
         (kind == "analysis") & parse.mentions_vulnerability(F.col("response")),
-        F.array(parse.fallback_finding(F.col("response"))),
+        F.array(parse.fallback(F.col("response"))),
     ).otherwise(none)
     found = (
-        F.when(F.col("cut").isNull(), none).when(F.col("texts").isNull(), from_text).otherwise(from_items)
+        F.when(F.col("cut").isNull(), none)
+        .when(F.col("read").isNull(), from_text)
+        .otherwise(parse.valid_prefix(F.col("read")).cast(f"array<{parse.READ_TYPE}>"))
     )
-    return items.select(
-        "repo_id", "rel_path", "kind", F.posexplode(found).alias("pos", "finding")
-    ).select(
+    exploded = rows.select("repo_id", "rel_path", "kind", F.posexplode(found).alias("pos", "item")).select(
+        "repo_id", "rel_path", "kind", "pos", "item.*"
+    )
+    is_text, analysis = F.col("is_text"), kind == "analysis"
+    severity = F.coalesce("severity", F.lit("medium"))
+    floor = F.when(analysis & ~is_text, assess(severity, F.col("method")))
+    default_type = F.when(analysis, F.lit("unknown")).otherwise(F.lit("zero_day_pattern"))
+    return exploded.select(
         "repo_id",
         F.col("rel_path").alias("file_path"),
-        "finding.*",
-        F.when(kind == "analysis", 0).otherwise(1).alias("part"),
+        F.when(analysis, F.col("line_number")).alias("line_number"),
+        F.coalesce("vulnerability_type", default_type).alias("vulnerability_type"),
+        severity.alias("severity"),
+        F.greatest("confidence", floor).alias("confidence"),
+        F.coalesce("description", F.lit("")).alias("description"),
+        *[F.when(analysis, F.col(name)).alias(name) for name in ("code_snippet", "recommendation", "cwe_id")],
+        F.when(is_text, "text_analysis").when(analysis, "llm_analysis").otherwise("zero_day_analysis").alias("detection_method"),
+        F.when(analysis, F.lit(0.0)).otherwise(F.col("zero_day_likelihood")).alias("zero_day_likelihood"),
+        F.when(analysis, 0).otherwise(1).alias("part"),
         "pos",
     )
 

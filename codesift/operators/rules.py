@@ -20,7 +20,6 @@ from codesift import settings
 _FLAGS = "(?idU)"
 # Constructs that Java and Python read differently.
 _NOT_SHARED = re.compile(r"\(\?(?!:)|\\[bBAZzGRXhHvVNkpPQE0-9]|\[\[|\[\^?\]|&&|[*+?}]\+|\$")
-_HIT = "struct<match:string,start:int,end:int>"
 HITS_TYPE = "array<struct<rule_id:int,line:int,match:string,start:int,end:int>>"
 
 
@@ -79,59 +78,42 @@ def explode_lines(files: DataFrame) -> DataFrame:
     )
 
 
-def _fold(text: Column) -> Column:
-    # The four non-ASCII letters that equal an ASCII letter when case is ignored.
-    return F.lower(F.translate(text, "İıſK", "iisk"))
+def _literal(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    """All matches in a line with offsets: walk over the gaps and the matched texts."""
-    regex = F.lit(_FLAGS + pattern)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_HIT}>").alias("hits"))
-    steps = F.arrays_zip(
-        F.split(text, regex, -1).alias("gap"), F.regexp_extract_all(text, regex, F.lit(0)).alias("hit")
-    )
-
-    def step(state: Column, item: Column) -> Column:
-        begin = state["at"] + F.length(item["gap"])
-        end = begin + F.coalesce(F.length(item["hit"]), F.lit(0))
-        hit = F.struct(item["hit"].alias("match"), begin.alias("start"), end.alias("end"))
-        hits = F.when(item["hit"].isNull(), state["hits"]).otherwise(F.concat(state["hits"], F.array(hit)))
-        return F.struct(end.alias("at"), hits.cast(f"array<{_HIT}>").alias("hits"))
-
-    return F.aggregate(steps, start, step, lambda state: state["hits"])
-
+# The four non-ASCII letters that equal an ASCII letter when case is ignored.
+_FOLDED = "lower(translate(text, 'İıſK', 'iisk'))"
 
-def _line_hits(line: Column, number: Column, rules: list[Rule]) -> Column:
-    none = F.array().cast(HITS_TYPE)
 
-    def hits_of(rule: Rule) -> Column:
-        wanted = line["text"].rlike(_FLAGS + rule.pattern)
-        for literal in reversed(rule.literals):
-            wanted = line["folded"].contains(literal) & wanted
+def _rule_hits(rule: Rule) -> str:
+    """Hits of one rule in the line ``x``: walk over the gaps and the matched texts."""
+    regex = _literal(_FLAGS + rule.pattern)
+    wanted = [f"contains(x.folded, {_literal(literal)})" for literal in rule.literals] + [f"x.text RLIKE {regex}"]
+    return f"""if({" AND ".join(wanted)}, aggregate(
+        arrays_zip(split(x.text, {regex}, -1), regexp_extract_all(x.text, {regex}, 0)),
+        named_struct('at', 0, 'hits', CAST(array() AS {HITS_TYPE})),
+        (state, item) -> named_struct(
+            'at', state.at + length(item.`0`) + coalesce(length(item.`1`), 0),
+            'hits', if(item.`1` IS NULL, state.hits, concat(state.hits, array(named_struct(
+                'rule_id', {rule.rule_id},
+                'line', number + 1,
+                'match', item.`1`,
+                'start', state.at + length(item.`0`),
+                'end', state.at + length(item.`0`) + length(item.`1`)))))),
+        state -> state.hits), CAST(array() AS {HITS_TYPE}))"""
 
-        def numbered(hit: Column) -> Column:
-            return F.struct(
-                F.lit(rule.rule_id).alias("rule_id"),
-                (number + 1).alias("line"),
-                hit["match"].alias("match"),
-                hit["start"].alias("start"),
-                hit["end"].alias("end"),
-            )
 
-        hits = F.transform(_matches(line["text"], rule.pattern), numbered)
-        return F.when(wanted, hits.cast(HITS_TYPE)).otherwise(none)
+def file_hits(content: str, rules: RuleSet) -> Column:
+    """All hits of the shared-syntax rules in one file, as an array.
 
-    return F.concat(none, *[hits_of(rule) for rule in rules])
-
-
-def file_hits(content: Column, rules: RuleSet) -> Column:
-    """All hits of the shared-syntax rules in one file, as an array."""
-    native = [rule for rule in rules.rules if rule.native]
-    lines = F.transform(
-        F.split(content, "\n", -1), lambda text: F.struct(text.alias("text"), _fold(text).alias("folded"))
-    )
-    return F.flatten(F.transform(lines, lambda line, number: _line_hits(line, number, native)))
+    Written as SQL text: one expression per rule is then parsed in one step.
+    """
+    per_rule = [f"CAST(array() AS {HITS_TYPE})"] + [_rule_hits(rule) for rule in rules.rules if rule.native]
+    return F.expr(f"""flatten(transform(
+        transform(split({content}, '\n', -1), text -> named_struct('text', text, 'folded', {_FOLDED})),
+        (x, number) -> concat({", ".join(per_rule)})))""")
 
 
 def _add_python_hits(rows: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -160,7 +142,7 @@ def _add_python_hits(rows: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def with_hits(files: DataFrame, rules: RuleSet) -> DataFrame:
     """Add ``hits``, all matches in a file as an array; the file bounds its length."""
-    rows = files.withColumn("hits", file_hits(F.col("content"), rules))
+    rows = files.withColumn("hits", file_hits("content", rules))
     others = [rule for rule in rules.rules if not rule.native]
     return _add_python_hits(rows, others) if others else rows
 

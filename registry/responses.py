@@ -128,6 +128,12 @@ def _responses(spark, sf_dir):
     return load(spark, sf_dir, "responses")
 
 
+def _items(spark, sf_dir):
+    cut = _responses(spark, sf_dir).withColumn("cut", parse.array_slice(F.col("response")))
+    sealed = cut.withColumn("sealed", parse.sealed_variant(F.col("cut")))
+    return sealed.withColumn("items", parse.items(F.col("cut"), F.col("sealed")))
+
+
 def _parsed(spark, sf_dir):
     return ops.parse_responses(_responses(spark, sf_dir))
 
@@ -139,9 +145,8 @@ def p5(spark, sf_dir):
 
 @query("p6_strict_decode", sql("responses", f"WITH {_CUT} SELECT repo_id, rel_path, json_valid(cut) AS is_array, CAST(CASE WHEN json_valid(cut) THEN json_array_length(cut) END AS INTEGER) AS items FROM cut WHERE cut IS NOT NULL"))
 def p6(spark, sf_dir):
-    cut = _responses(spark, sf_dir).select("repo_id", "rel_path", parse.array_slice(F.col("response")).alias("cut")).where("cut IS NOT NULL")
-    texts = parse.decoded_texts(F.col("cut"))
-    return cut.select("repo_id", "rel_path", texts.isNotNull().alias("is_array"), F.size(texts).alias("items"))
+    rows = _items(spark, sf_dir).where("cut IS NOT NULL")
+    return rows.select("repo_id", "rel_path", F.col("items").isNotNull().alias("is_array"), F.size("items").alias("items"))
 
 
 @query("p7_analysis_findings", sql("responses", f"WITH {_PARSED} SELECT * FROM parsed WHERE detection_method = 'llm_analysis'"))
@@ -159,13 +164,9 @@ def p8(spark, sf_dir):
   SELECT *, min(CASE WHEN NOT ok THEN pos END) OVER (PARTITION BY repo_id, rel_path, kind) AS bad FROM marked) GROUP BY ALL)
 SELECT repo_id, rel_path, kind, CAST(items AS INTEGER) AS items, CAST(kept AS INTEGER) AS kept FROM counts"""))
 def p9(spark, sf_dir):
-    cut = _responses(spark, sf_dir).select("repo_id", "rel_path", "kind", parse.array_slice(F.col("response")).alias("cut"))
-    read = cut.withColumn("texts", parse.decoded_texts(F.col("cut")))
-    items = read.withColumn("items", parse.fields(parse.elements(F.col("cut"), F.col("texts"))))
-    kept = items.where("texts IS NOT NULL").select(
-        "repo_id", "rel_path", "kind", F.size("items").alias("items"), F.size(parse.valid_prefix(F.col("items"), F.col("kind"))).alias("kept")
-    )
-    return kept.where("items > 0")
+    read = _items(spark, sf_dir).where("items IS NOT NULL").withColumn("read", parse.read())
+    kept = F.size(parse.valid_prefix(F.col("read"))).alias("kept")
+    return read.select("repo_id", "rel_path", "kind", F.size("items").alias("items"), kept).where("items > 0")
 
 
 @query("p10_text_fallback", sql("responses", f"WITH {_PARSED} SELECT * FROM parsed WHERE detection_method = 'text_analysis'"))

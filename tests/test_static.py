@@ -1,0 +1,131 @@
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from codesift import settings
+from codesift.operators import facts as fact_ops
+from codesift.operators import rules, scoring
+from codesift.plans.audit import static_audit
+from codesift.sources.facts import extract_facts, file_facts
+
+
+def test_facts_of_one_file():
+    facts = file_facts(
+        "import a.b as c\nfrom . import x\nfrom m import y\nz = w = 1\n(p, q) = 1, 2\nn: int = 1\n"
+        "class K(Base, m.Other):\n    @dec\n    @d.e(1)\n    def f(self, a, /, b, *, c, **k): eval(b)\n"
+        "async def g(): os.system('x')\nf()()\ne = eval\ne('1')\n"
+    )
+    assert facts["imports"] == ["a.b", ".x", "m.y"]
+    assert facts["functions"] == [{"name": "f", "line": 10, "args": 1, "decorators": ["dec", "d.e(1)"]}]
+    assert facts["classes"] == [{"name": "K", "line": 7, "bases": ["Base", "m.Other"]}]
+    assert [v["name"] for v in facts["variables"]] == ["z", "w", "e"]
+    assert sorted(c["function"] for c in facts["calls"]) == ["<expr>", "d.e", "e", "eval", "f", "os.system"]
+
+
+def test_facts_are_in_breadth_first_order():
+    facts = file_facts("def a():\n    import x\n    def b(): pass\nimport y\ndef c(): pass\n")
+    assert facts["imports"] == ["y", "x"]
+    assert [f["name"] for f in facts["functions"]] == ["a", "c", "b"]
+
+
+@pytest.mark.parametrize(("code", "start"), [("def f(:", "Syntax error: "), ("x = 1\0", "Syntax error: "), ("(" * 500, "")])
+def test_parse_failures_are_rows(code, start):
+    facts = file_facts(code)
+    assert facts["parse_error"].startswith(start) and "imports" not in facts
+
+
+def test_empty_file_has_one_node():
+    assert file_facts("")["ast_nodes"] == 1
+
+
+def test_dangerous_calls_are_exact_names(spark, files):
+    rows = files([("r", "a.py", "import pickle as p\nx.eval(1)\nopen('f')\np.loads(1)\npickle.loads(1, 2)\nsubprocess.run\n")])
+    got = fact_ops.dangerous_calls(extract_facts(rows)).collect()
+    assert [(r.function, r.line, r.args) for r in got] == [("open", 3, 1), ("pickle.loads", 5, 2)]
+
+
+def expected_hits(texts, patterns):
+    return sorted(
+        (str(n), k, number, m.group(), m.start(), m.end())
+        for n, text in enumerate(texts) for k, p in enumerate(patterns)
+        for number, line in enumerate(text.split("\n"), 1) for m in re.finditer(p, line, re.IGNORECASE)
+    )
+
+
+def hits(files, texts, rule_set):
+    rows = rules.scan(files([("r", str(n), text) for n, text in enumerate(texts)]), rule_set).collect()
+    return sorted((r.rel_path, r.rule_id, r.line, r.match, r.start, r.end) for r in rows)
+
+
+PIECES = ["password", "PASSWORD", "paſſword", " = ", "=", "'a'", '"b"', "api_key", "apİ_key", "secret", "SELECT ", "select ", "* FROM t ", "+", ".format(", "x)", ")",
+          "f'", 'F"', "{", "}", "'", '"', "\n", "\r", " ", "é", "𝄞", " ", "\t", "q"]
+
+
+def test_default_rules_match_python(files):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(PIECES) for _ in range(rng.randrange(40))) for _ in range(400)]
+    wanted = expected_hits(texts, settings.SUSPICIOUS_PATTERNS)
+    assert len({k for _, k, *_ in wanted}) == 6
+    assert hits(files, texts, rules.default_rules()) == wanted
+
+
+def test_rules_outside_the_shared_syntax_use_python(files):
+    patterns = [r"(?P<q>['\"])x(?P=q)", r"\bkey\b", r"a*", r"tok\s*=", r"^a|b$", r"(a)\1"]
+    rule_set = rules.compile_rules(patterns)
+    assert [r.native for r in rule_set.rules] == [False, False, False, True, False, False]
+    texts = ["'x' \"x\" 'x\"\nkey keys key", "aab\ntok = tok=", ""]
+    assert hits(files, texts, rule_set) == expected_hits(texts, patterns)
+
+
+def test_bad_rule_is_skipped_with_a_warning(spark):
+    rule_set = rules.compile_rules(["a(", "b"])
+    assert [r.rule_id for r in rule_set.rules] == [1]
+    assert rule_set.warning_table(spark).first().pattern == "a("
+
+
+def test_many_matches_on_one_line(files):
+    texts = [".format(a) " * 3000]
+    assert hits(files, texts, rules.default_rules()) == expected_hits(texts, settings.SUSPICIOUS_PATTERNS)
+
+
+def test_lines_keep_the_last_empty_one(files):
+    rows = rules.explode_lines(files([("r", "a", "x\n\ny\n"), ("r", "b", "")])).collect()
+    assert sorted((r.rel_path, r.line, r.text) for r in rows) == [("a", 1, "x"), ("a", 2, ""), ("a", 3, "y"), ("a", 4, ""), ("b", 1, "")]
+
+
+def test_scan_has_no_shuffle_or_join(files):
+    plan = rules.scan(files([("r", "a", "x")]))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_scores_of_the_sample_shape(spark, files):
+    """Node counts and scores of a five-file sample: 0.53, 0.01, 1.26, 0.01 and 1.83."""
+    rows = [("a", 53, 0, ["os", "d.x"], 0), ("b", 1, 0, [], 0), ("c", 126, 0, ["requests"], 1), ("d", 1, 0, [], 0), ("e", 133, 1, ["app.main"], 0)]
+    table = spark.createDataFrame(
+        [("r", p, None, n, i, [("f", 1, 1, [])] * f, [], [], [(0, 1, "m", 0, 1)] * h) for p, n, f, i, h in rows],
+        "repo_id string, rel_path string, parse_error string, ast_nodes int, imports array<string>, "
+        "functions array<struct<name:string,line:int,args:int,decorators:array<string>>>, classes array<struct<name:string>>, "
+        "calls array<struct<function:string,line:int,args:int>>, hits array<struct<rule_id:int,line:int,match:string,start:int,end:int>>",
+    )
+    scored = scoring.file_scores(table)
+    got = {r.rel_path: (round(r.complexity_score, 6), r.security_score) for r in scored.collect()}
+    assert got == {"a": (0.53, 1.0), "b": (0.01, 0.0), "c": (1.26, 1.0), "d": (0.01, 0.0), "e": (1.83, 0.0)}
+    repos = spark.createDataFrame([("r",), ("empty",)], "repo_id string")
+    summary = {r.repo_id: tuple(r)[1:] for r in scoring.corpus_summary(scored, repos).collect()}
+    assert summary["r"] == (5, 0, 1, 0.73, 0.4, 4, 1, "low")
+    assert summary["empty"] == (0, None, None, None, None, None, None, None)
+
+
+def test_scores_are_capped(spark, files):
+    code = "\n".join(["eval(1)"] * 30) + "\nimport posixpath, os\n"
+    row = scoring.file_scores(static_audit(files([("r", "a.py", code)])).facts).first()
+    assert (row.complexity_score, row.security_score, row.risky_imports) == (10.0, 10.0, 2)
+
+
+def test_failed_file_still_counts_and_is_scanned(files):
+    static = static_audit(files([("r", "a.py", 'def f(:\npassword = "x"')]))
+    row = static.scored.first()
+    assert (row.complexity_score, row.security_score, row.hits) == (0.0, 1.0, 1)
+    assert static.findings().count() == 1

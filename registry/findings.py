@@ -63,14 +63,14 @@ def r4(spark, sf_dir):
 
 _RANK = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END"
 RANKED = f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY {_RANK}, confidence DESC, origin, file_path, part, pos,
- vulnerability_type, line_number, description) AS index FROM findings)"""
+ vulnerability_type, line_number, description) AS position FROM findings)"""
 
 
-@query("r5_severity_order", sql("findings", f"WITH {RANKED} SELECT repo_id, index, severity, confidence, file_path, origin, part, pos, vulnerability_type, line_number, description FROM ranked"))
+@query("r5_severity_order", sql("findings", f"WITH {RANKED} SELECT repo_id, position, severity, confidence, file_path, origin, part, pos, vulnerability_type, line_number, description FROM ranked"))
 def r5(spark, sf_dir):
     ranked = ops.rank_findings(_findings(spark, sf_dir))
     return ranked.select(
-        "repo_id", "index", "severity", "confidence", "file_path", "origin", "part", "pos", "vulnerability_type", "line_number", "description"
+        "repo_id", "position", "severity", "confidence", "file_path", "origin", "part", "pos", "vulnerability_type", "line_number", "description"
     )
 
 

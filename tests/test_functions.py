@@ -18,7 +18,7 @@ def test_round_follows_binary_value_and_even_ties(spark):
     values += [rng.uniform(-1000, 1000) for _ in range(3000)]
     values += [rng.randrange(0, 10**5) / 1000 for _ in range(3000)]
     assert column(spark, values, "double", text.round2(F.col("v"))) == [round(v, 2) for v in values]
-    assert column(spark, values, "double", text.two_decimals(F.col("v"))) == [f"{v:.2f}".replace("-0.00", "-0.00") for v in values]
+    assert column(spark, values, "double", text.two_decimals(F.col("v"))) == [f"{v:.2f}" for v in values]
 
 
 def test_one_decimal(spark):
@@ -27,8 +27,8 @@ def test_one_decimal(spark):
 
 
 def test_title(spark):
-    values = ["sql_injection", "sql2x", "they're", "XSS", "a-b c", "éa ßb", "", "_x__y"]
-    assert column(spark, values, "string", text.title(F.col("v"))) == [v.title() for v in values if v != "éa ßb"][:5] + ["Éa " + "SSb", "", "_X__Y"]
+    values = ["sql_injection", "sql2x", "they're", "XSS", "a-b c", "éa b", "", "_x__y"]
+    assert column(spark, values, "string", text.title(F.col("v"))) == [v.title() for v in values]
 
 
 def test_strip_and_blank(spark):

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from codesift import settings
 from codesift.functions import text
-from codesift.operators.joins import salted_join
+from codesift.operators.joins import skew_join
+from codesift.session import durable
 
 
 def _newest() -> list[Column]:
@@ -65,11 +66,14 @@ def file_history(
 ) -> DataFrame:
     """The newest commits of every path at once, with the size of each commit.
 
-    The join is salted by path, since one commit may touch a large share of all files.
+    One commit may touch a large share of all files, so the join with the commits salts
+    the hot ones; the sizes are the counts it needs for that.
     """
-    touched = commit_files.select("repo_id", "hash", "rel_path").distinct()
-    sized = commits.join(files_changed(commit_files), ["repo_id", "hash"], "left")
-    joined = salted_join(touched, sized, ["repo_id", "hash"], "inner", ["rel_path"])
+    touched = durable(commit_files.select("repo_id", "hash", "rel_path").distinct())
+    sizes = durable(touched.groupBy("repo_id", "hash").agg(F.count("*").alias("files_changed")))
+    sized = commits.join(sizes, ["repo_id", "hash"])
+    counts = sizes.withColumnRenamed("files_changed", "rows")
+    joined = skew_join(touched, sized, ["repo_id", "hash"], "inner", ["rel_path"], counts)
     by_date = Window.partitionBy("repo_id", "rel_path").orderBy(*_newest())
     return (
         joined.withColumn("position", F.row_number().over(by_date))
@@ -82,6 +86,6 @@ def file_history(
             text.strip(F.col("message")).alias("message"),
             "author",
             F.date_format("committed_at", "yyyy-MM-dd'T'HH:mm:ss").alias("date"),
-            F.coalesce("files_changed", F.lit(0)).cast("bigint").alias("files_changed"),
+            "files_changed",
         )
     )

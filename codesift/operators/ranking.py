@@ -5,31 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codesift.operators.joins import shuffle_partitions, sized_join
 from codesift.session import durable
 
 
 def number_within(df: DataFrame, group: str, order: list[Column], name: str) -> DataFrame:
     """1-based position of every row within its group, without one task per group.
 
-    Rows are range-partitioned by group and order, so a large group spans several
-    partitions.  Each partition numbers its own rows; the counts of the earlier
-    partitions of the same group, one small row per partition, are added.
-    ``order`` should tell rows apart: equal rows share a partition.
+    Rows are range-partitioned and sorted by group and order, so a large group spans
+    several partitions, and numbered in that order.  What turns a row's number into its
+    position is one value per partition and group: its first number there and the rows
+    of the group in earlier partitions.  Equal rows share a partition, so ``order``
+    should tell rows apart.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(group).asc(), *order]
     placed = durable(
-        df.repartitionByRange(parts, F.col(group).asc(), *order).withColumn("_part", F.spark_partition_id())
+        df.repartitionByRange(shuffle_partitions(df), *keys)
+        .sortWithinPartitions(*keys)
+        .withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
     )
-    counts = placed.groupBy("_part", group).agg(F.count("*").alias("_rows"))
-    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # Only a partition's first group can have rows before it: at most one row per partition.
-    offsets = (
-        counts.withColumn("_before", F.sum("_rows").over(before)).where("_before > 0").select("_part", group, "_before")
-    )
-    local = Window.partitionBy("_part", group).orderBy(*order)
-    return (
-        placed.withColumn("_local", F.row_number().over(local))
-        .join(F.broadcast(offsets), ["_part", group], "left")
-        .withColumn(name, (F.col("_local") + F.coalesce("_before", F.lit(0))).cast("bigint"))
-        .drop("_part", "_local", "_before")
+    earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = (
+        placed.groupBy("_part", group)
+        .agg(F.count("*").alias("_rows"), F.min("_row").alias("_first"))
+        .select("_part", group, (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
     )
+    numbered = sized_join(placed, shifts, ["_part", group], "left", ["_row"])
+    return numbered.withColumn(name, F.col("_row") + F.col("_shift")).drop("_part", "_row", "_shift")

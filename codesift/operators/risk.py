@@ -35,15 +35,22 @@ def severity_counts(findings: DataFrame, repos: DataFrame) -> DataFrame:
     )
 
 
-def _counts(findings: DataFrame) -> DataFrame:
+def repo_figures(findings: DataFrame, repos: DataFrame) -> DataFrame:
+    """All aggregates that summaries and assessments need, for every repository.
+
+    One pass over the findings: rows are reduced per (repository, file), which also
+    gives the distinct files, and then per repository.  The join with ``repos`` has one
+    row per key on both sides.
+    """
     severity, likelihood = _severity(), F.coalesce("zero_day_likelihood", F.lit(0.0))
     confidence = F.coalesce("confidence", F.lit(0.0))
     types = [
         F.max(F.coalesce(F.col("vulnerability_type") == name, F.lit(False))).alias(f"has_{name}")
         for name, _ in settings.TYPE_RECOMMENDATIONS
     ]
-    return findings.groupBy("repo_id").agg(
+    counts = findings.groupBy("repo_id").agg(
         F.count("*").alias("total"),
+        F.countDistinct(F.coalesce("file_path", F.lit(""))).alias("files"),
         *[F.count_if(severity == name).alias(name) for name in settings.SEVERITIES],
         F.sum(scores.severity_weight(severity) * F.coalesce("confidence", F.lit(0.5))).alias("weighted"),
         F.sum(likelihood).alias("likelihood"),
@@ -52,11 +59,7 @@ def _counts(findings: DataFrame) -> DataFrame:
         F.avg("confidence").alias("mean_confidence"),
         *types,
     )
-
-
-def _per_repo(findings: DataFrame, repos: DataFrame) -> DataFrame:
-    """Aggregates for every repository; one row per key on both sides of the join."""
-    return repos.join(_counts(findings), "repo_id", "left").withColumn("total", F.coalesce("total", F.lit(0)))
+    return repos.join(counts, "repo_id", "left").withColumn("total", F.coalesce("total", F.lit(0)))
 
 
 def _count(name: str) -> Column:
@@ -78,22 +81,10 @@ def _overall() -> Column:
     return F.initcap(scores.highest_severity(_count("critical"), _count("high"), _count("medium")))
 
 
-def executive_summary(findings: DataFrame, repos: DataFrame) -> DataFrame:
-    """One row per repository: totals, severities, overall risk by highest severity.
-
-    ``files_analyzed`` counts the distinct files that have findings.
-    """
-    files = (
-        findings.select("repo_id", F.coalesce("file_path", F.lit("")).alias("file_path"))
-        .distinct()
-        .groupBy("repo_id")
-        .agg(F.count("*").alias("files"))
-    )
-    rows = _per_repo(findings, repos).join(files, "repo_id", "left")
-    name = F.col("name") if "name" in repos.columns else F.lit(None)
-    url = F.col("url") if "url" in repos.columns else F.lit(None)
-    return rows.select(
-        "repo_id",
+def summary_columns(figures: DataFrame) -> list[Column]:
+    name = F.col("name") if "name" in figures.columns else F.lit(None)
+    url = F.col("url") if "url" in figures.columns else F.lit(None)
+    return [
         F.coalesce(name, F.lit("Unknown")).alias("repository_name"),
         F.coalesce(url, F.lit("")).alias("repository_url"),
         F.col("total").cast("bigint").alias("total_vulnerabilities"),
@@ -101,36 +92,53 @@ def executive_summary(findings: DataFrame, repos: DataFrame) -> DataFrame:
         _overall().alias("overall_risk"),
         _count("files").alias("files_analyzed"),
         (F.coalesce("likelihood", F.lit(0.0)) / F.greatest("total", F.lit(1))).alias("zero_day_potential"),
-    )
+    ]
 
 
-def risk_assessment(findings: DataFrame, repos: DataFrame) -> DataFrame:
-    """Weighted risk score, its band, and the counts that exist only where there are findings."""
+def assessment_columns() -> list[Column]:
     some = F.col("total") > 0
-    return _per_repo(findings, repos).select(
-        "repo_id",
+    return [
         _band().alias("overall_risk"),
         text.round2(_risk_score()).alias("risk_score"),
         F.when(some, F.col("total")).cast("bigint").alias("total_findings"),
         F.when(some, F.col("confident")).cast("bigint").alias("high_confidence_findings"),
         F.when(some, F.col("indicators")).cast("bigint").alias("zero_day_indicators"),
-    )
+    ]
 
 
-def recommendations(findings: DataFrame, repos: DataFrame) -> DataFrame:
-    """``(repo_id, recommendations array<string>)``, a choice from a fixed list."""
+def recommendation_column() -> Column:
+    """A choice from a fixed list, in its order."""
     urgent = _band().isin("Critical", "High")
     chosen = [F.when(urgent, F.lit(line)) for line in settings.URGENT_RECOMMENDATIONS]
     chosen += [F.when(F.col(f"has_{kind}"), F.lit(line)) for kind, line in settings.TYPE_RECOMMENDATIONS]
     chosen.append(F.when(F.col("indicators") > 0, F.lit(settings.LIKELIHOOD_RECOMMENDATION)))
     chosen += [F.lit(line) for line in settings.GENERAL_RECOMMENDATIONS]
-    return _per_repo(findings, repos).select("repo_id", F.array_compact(F.array(*chosen)).alias("recommendations"))
+    return F.array_compact(F.array(*chosen)).alias("recommendations")
+
+
+def executive_summary(findings: DataFrame, repos: DataFrame) -> DataFrame:
+    """One row per repository: totals, severities, overall risk by highest severity.
+
+    ``files_analyzed`` counts the distinct files that have findings.
+    """
+    figures = repo_figures(findings, repos)
+    return figures.select("repo_id", *summary_columns(figures))
+
+
+def risk_assessment(findings: DataFrame, repos: DataFrame) -> DataFrame:
+    """Weighted risk score, its band, and the counts that exist only where there are findings."""
+    return repo_figures(findings, repos).select("repo_id", *assessment_columns())
+
+
+def recommendations(findings: DataFrame, repos: DataFrame) -> DataFrame:
+    """``(repo_id, recommendations array<string>)``."""
+    return repo_figures(findings, repos).select("repo_id", recommendation_column())
 
 
 def model_summary(findings: DataFrame, repos: DataFrame) -> DataFrame:
     """Summary of the model findings above the threshold; figures are null where there are none."""
     some = F.col("total") > 0
-    return _per_repo(findings, repos).select(
+    return repo_figures(findings, repos).select(
         "repo_id",
         F.col("total").cast("bigint").alias("total_vulnerabilities"),
         *[F.when(some, F.col(severity)).cast("bigint").alias(severity) for severity in settings.SEVERITIES],

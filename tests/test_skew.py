@@ -35,6 +35,7 @@ def test_salted_and_sized_joins_agree(spark):
         assert sorted(map(tuple, joins.salted_join(big, small, ["k"], how, ["id"]).collect()), key=str) == plain
         assert sorted(map(tuple, joins.sized_join(big, small, ["k"], how, ["id"]).collect()), key=str) == plain
         assert sorted(map(tuple, joins.sized_join(big, small, ["k"], how, ["id"], max_bytes=0).collect()), key=str) == plain
+        assert sorted(map(tuple, joins.skew_join(big, small, ["k"], how, ["id"]).collect()), key=str) == plain
 
 
 def test_salt_spreads_a_hot_key(spark):

@@ -19,7 +19,9 @@ from codesift import settings
 # Case folding, the class of spaces and the dot follow Python's rules.
 _FLAGS = "(?idU)"
 # Constructs that Java and Python read differently.
-_NOT_SHARED = re.compile(r"\(\?(?!:)|\\[bBAZzGRXhHvVNkpPQE0-9]|\[\[|\[\^?\]|&&|[*+?}]\+|\$")
+_NOT_SHARED = re.compile(
+    r"\(\?(?!:)|\\[bBAZzGRXhHvVNkpPQE0-9]|\[[^\]]*\[|\[\^?\]|&&|[*+?}]\+|\$|(?<!\\)\{(?!\d)"
+)
 HITS_TYPE = "array<struct<rule_id:int,line:int,match:string,start:int,end:int>>"
 
 
@@ -83,17 +85,26 @@ def _literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-# The four non-ASCII letters that equal an ASCII letter when case is ignored.
-_FOLDED = "lower(translate(text, 'İıſK', 'iisk'))"
+def fold(text: Column) -> Column:
+    """Lower case in which letters that are equal when case is ignored are the same.
+
+    Four non-ASCII letters equal an ASCII letter; few texts have them.
+    """
+    odd = text.contains("İ") | text.contains("ı") | text.contains("ſ") | text.contains("K")
+    return F.lower(F.when(odd, F.translate(text, "İıſK", "iisk")).otherwise(text))
+
+
+def _wanted(folded: str, rule: Rule) -> str:
+    return " AND ".join([f"contains({folded}, {_literal(text)})" for text in rule.literals] or ["true"])
 
 
 def _rule_hits(rule: Rule) -> str:
-    """Hits of one rule in the line ``x``: walk over the gaps and the matched texts."""
+    """Hits of one rule in the line ``x`` (text, folded text): walk over the gaps and the matched texts."""
     regex = _literal(_FLAGS + rule.pattern)
-    wanted = [f"contains(x.folded, {_literal(literal)})" for literal in rule.literals] + [f"x.text RLIKE {regex}"]
-    return f"""if({" AND ".join(wanted)}, aggregate(
-        arrays_zip(split(x.text, {regex}, -1), regexp_extract_all(x.text, {regex}, 0)),
-        named_struct('at', 0, 'hits', CAST(array() AS {HITS_TYPE})),
+    none = f"CAST(array() AS {HITS_TYPE})"
+    return f"""if({_wanted("x.`1`", rule)} AND x.`0` RLIKE {regex}, aggregate(
+        arrays_zip(split(x.`0`, {regex}, -1), regexp_extract_all(x.`0`, {regex}, 0)),
+        named_struct('at', 0, 'hits', {none}),
         (state, item) -> named_struct(
             'at', state.at + length(item.`0`) + coalesce(length(item.`1`), 0),
             'hits', if(item.`1` IS NULL, state.hits, concat(state.hits, array(named_struct(
@@ -102,18 +113,22 @@ def _rule_hits(rule: Rule) -> str:
                 'match', item.`1`,
                 'start', state.at + length(item.`0`),
                 'end', state.at + length(item.`0`) + length(item.`1`)))))),
-        state -> state.hits), CAST(array() AS {HITS_TYPE}))"""
+        state -> state.hits), {none})"""
 
 
-def file_hits(content: str, rules: RuleSet) -> Column:
-    """All hits of the shared-syntax rules in one file, as an array.
+def _file_hits(rules: list[Rule]) -> Column:
+    """All hits of the rules in ``content``, given its ``_folded`` form.
 
-    Written as SQL text: one expression per rule is then parsed in one step.
+    Written as SQL text: one expression per rule is then parsed in one step.  A file
+    without the literals of any rule is not split; in any other, only the lines with a
+    rule's literals reach its pattern.
     """
-    per_rule = [f"CAST(array() AS {HITS_TYPE})"] + [_rule_hits(rule) for rule in rules.rules if rule.native]
-    return F.expr(f"""flatten(transform(
-        transform(split({content}, '\n', -1), text -> named_struct('text', text, 'folded', {_FOLDED})),
-        (x, number) -> concat({", ".join(per_rule)})))""")
+    none = f"CAST(array() AS {HITS_TYPE})"
+    per_rule = [none] + [_rule_hits(rule) for rule in rules]
+    any_rule = " OR ".join(["false"] + [f"({_wanted('_folded', rule)})" for rule in rules])
+    return F.expr(f"""if({any_rule}, flatten(transform(
+        arrays_zip(split(content, '\\n', -1), split(_folded, '\\n', -1)),
+        (x, number) -> concat({", ".join(per_rule)}))), {none})""")
 
 
 def _add_python_hits(rows: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -142,8 +157,9 @@ def _add_python_hits(rows: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def with_hits(files: DataFrame, rules: RuleSet) -> DataFrame:
     """Add ``hits``, all matches in a file as an array; the file bounds its length."""
-    rows = files.withColumn("hits", file_hits("content", rules))
+    native = [rule for rule in rules.rules if rule.native]
     others = [rule for rule in rules.rules if not rule.native]
+    rows = files.withColumn("_folded", fold(F.col("content"))).withColumn("hits", _file_hits(native)).drop("_folded")
     return _add_python_hits(rows, others) if others else rows
 
 

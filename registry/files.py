@@ -106,7 +106,10 @@ SELECT source AS repo_id, lang || '/_d' || CAST(doc_id % 7 AS VARCHAR) || '/' ||
  md5(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS digest FROM documents""")
 def s1(spark, sf_dir):
     """Every document is written as a file to the shared folder, then read back as a tree."""
-    root = os.path.join(checkpoint_dir(spark).removeprefix("file:"), f"tree-{uuid.uuid4().hex}")
+    shared = checkpoint_dir(spark).removeprefix("file:")
+    if ":" in shared:
+        raise ValueError("a source tree needs a folder that is mounted as a file system")
+    root = os.path.join(shared, f"tree-{uuid.uuid4().hex}")
 
     def write(batches):
         for batch in batches:

@@ -72,10 +72,11 @@ def test_default_rules_match_python(files):
 
 
 def test_rules_outside_the_shared_syntax_use_python(files):
-    patterns = [r"(?P<q>['\"])x(?P=q)", r"\bkey\b", r"a*", r"tok\s*=", r"^a|b$", r"(a)\1"]
+    patterns = [r"(?P<q>['\"])x(?P=q)", r"\bkey\b", r"a*", r"tok\s*=", r"^a|b$", r"(a)\1", "{x}", "a{,2}b", "[a[]", "[ab]c[de]"]
     rule_set = rules.compile_rules(patterns)
-    assert [r.native for r in rule_set.rules] == [False, False, False, True, False, False]
-    texts = ["'x' \"x\" 'x\"\nkey keys key", "aab\ntok = tok=", ""]
+    assert [r.native for r in rule_set.rules] == [False, False, False, True, False, False, False, False, False, True]
+    assert all(rule.native for rule in rules.default_rules().rules)
+    texts = ["'x' \"x\" 'x\"\nkey keys key", "aab\ntok = tok=", "", "{x} a[ ACD bce"]
     assert hits(files, texts, rule_set) == expected_hits(texts, patterns)
 
 

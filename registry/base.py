@@ -53,7 +53,7 @@ _REPO = "'repo_' || CAST({} % 20 AS STRING) AS repo_id"
 
 # --- source files ------------------------------------------------------------
 INPUTS["tree_files"] = ("lineitem", [
-    _REPO.format("l_suppkey"),
+    "'repo_' || CAST(l_suppkey AS STRING) AS repo_id",
     """CASE l_partkey % 9 WHEN 0 THEN '.git/' WHEN 1 THEN 'src/venv/' WHEN 2 THEN 'venvx/' WHEN 3 THEN 'a/__pycache__/b/'
      WHEN 4 THEN '' WHEN 5 THEN 'node_modules/' ELSE 'pkg/sub/' END || 'f_' || CAST(l_orderkey AS STRING) || '_' || CAST(l_linenumber AS STRING)
      || CASE l_quantity % 7 WHEN 0 THEN '.pyi' WHEN 1 THEN '.PY' WHEN 2 THEN '.md' WHEN 3 THEN '/env' ELSE '.py' END AS rel_path""",

@@ -45,15 +45,15 @@ _LIMIT_SQL = "SELECT repo_id, sum(size_bytes) / 1048576.0::DOUBLE AS size_mb FRO
 
 
 @query("s6_repo_size_gate_rejected", sql("tree_files", f"""
-SELECT repo_id, size_mb, printf('Repository size (%.1fMB) exceeds limit (455MB)', size_mb) AS error FROM ({_LIMIT_SQL}) WHERE size_mb > 455"""))
+SELECT repo_id, size_mb, printf('Repository size (%.1fMB) exceeds limit (90MB)', size_mb) AS error FROM ({_LIMIT_SQL}) WHERE size_mb > 90"""))
 def s6_rejected(spark, sf_dir):
-    return ops.oversized_repos(load(spark, sf_dir, "tree_files"), 455)
+    return ops.oversized_repos(load(spark, sf_dir, "tree_files"), 90)
 
 
 @query("s6_repo_size_gate_accepted", sql("tree_files", f"""
-SELECT t.* FROM tree_files t JOIN ({_LIMIT_SQL}) s ON t.repo_id = s.repo_id WHERE s.size_mb <= 455"""))
+SELECT t.* FROM tree_files t JOIN ({_LIMIT_SQL}) s ON t.repo_id = s.repo_id WHERE s.size_mb <= 90"""))
 def s6_accepted(spark, sf_dir):
-    return ops.accepted_files(load(spark, sf_dir, "tree_files"), 455)
+    return ops.accepted_files(load(spark, sf_dir, "tree_files"), 90)
 
 
 @query("s7_file_size_gate", sql("tree_files", "SELECT * FROM tree_files WHERE size_bytes <= 102400"))

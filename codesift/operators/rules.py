@@ -155,27 +155,40 @@ def _add_python_hits(rows: DataFrame, rules: list[Rule]) -> DataFrame:
     return rows.mapInArrow(search, rows.schema)
 
 
+def _folded(files: DataFrame) -> DataFrame:
+    return files.withColumn("_folded", fold(F.col("content")))
+
+
 def with_hits(files: DataFrame, rules: RuleSet) -> DataFrame:
     """Add ``hits``, all matches in a file as an array; the file bounds its length."""
     native = [rule for rule in rules.rules if rule.native]
     others = [rule for rule in rules.rules if not rule.native]
-    rows = files.withColumn("_folded", fold(F.col("content"))).withColumn("hits", _file_hits(native)).drop("_folded")
+    rows = _folded(files).withColumn("hits", _file_hits(native)).drop("_folded")
     return _add_python_hits(rows, others) if others else rows
 
 
-def explode_hits(rows: DataFrame, rules: RuleSet) -> DataFrame:
-    """``pattern_hits(repo_id, rel_path, rule_id, pattern, line, match, start, end)``."""
+def _labelled(hits: DataFrame, rules: RuleSet) -> DataFrame:
     pattern = F.when(F.lit(False), F.lit(""))
     for rule in rules.rules:
         pattern = pattern.when(F.col("rule_id") == rule.rule_id, F.lit(rule.pattern))
-    hits = rows.select("repo_id", "rel_path", F.inline("hits"))
     return hits.select("repo_id", "rel_path", "rule_id", pattern.alias("pattern"), "line", "match", "start", "end")
 
 
+def explode_hits(rows: DataFrame, rules: RuleSet) -> DataFrame:
+    """``pattern_hits(repo_id, rel_path, rule_id, pattern, line, match, start, end)``."""
+    return _labelled(rows.select("repo_id", "rel_path", F.inline("hits")), rules)
+
+
 def scan(files: DataFrame, rules: RuleSet | None = None) -> DataFrame:
     """All matches of all rules in the lines of the files."""
     rules = default_rules() if rules is None else rules
-    return explode_hits(with_hits(files.select("repo_id", "rel_path", "content"), rules), rules)
+    rows = files.select("repo_id", "rel_path", "content")
+    if any(not rule.native for rule in rules.rules):
+        return explode_hits(with_hits(rows, rules), rules)
+    # The generator gets the expression itself: for a column the optimizer would add a
+    # filter on its size, and push it down to where the hits are computed a second time.
+    hits = _folded(rows).select("repo_id", "rel_path", F.inline(_file_hits(list(rules.rules))))
+    return _labelled(hits, rules)
 
 
 def hits_per_file(hits: DataFrame) -> DataFrame:

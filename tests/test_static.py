@@ -99,6 +99,8 @@ def test_lines_keep_the_last_empty_one(files):
 def test_scan_has_no_shuffle_or_join(files):
     plan = rules.scan(files([("r", "a", "x")]))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+    # every pattern is evaluated in one place only
+    assert plan.count("Generate inline") == 1 and "Filter" not in plan
 
 
 def test_scores_of_the_sample_shape(spark, files):

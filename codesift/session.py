@@ -1,8 +1,12 @@
-"""Session settings the audit relies on."""
+"""Session settings and tables the operators rely on."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,12 +20,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoints-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Compute once and keep in the checkpoint folder, so that later steps that read
-    the rows several times see the same rows, also after executors are lost."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute once and keep as Parquet in the checkpoint folder.
+
+    Later steps that read the rows several times see the same rows, also after executors
+    are lost, read only the columns they need, and plan with the table's size.  The table
+    goes when the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_delete, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended with all it kept
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

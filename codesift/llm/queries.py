@@ -96,20 +96,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: A tree in SQL: sentence, paragraph, section and root digests of the text column ``t``.
 _TREE = r"""
-    list_transform(string_split(replace(replace(replace(P, '. ', '. ' || chr(10)), '! ', '! ' || chr(10)), '? ', '? ' || chr(10)), chr(10)), s -> sha256(s))"""
+    list_transform(string_split(replace(replace(replace(p, '. ', '. ' || chr(10)), '! ', '! ' || chr(10)), '? ', '? ' || chr(10)), chr(10)), lambda s: sha256(s))"""
 
 
 def _tree_sql(text: str, name: str) -> str:
-    leaves = f"list_transform(string_split({text}, chr(10)), p -> {_TREE.replace('P,', 'p,').strip()})"
+    leaves = f"list_transform(string_split({text}, chr(10)), lambda p: {_TREE.strip()})"
     return f"{leaves} AS {name}_leaves"
 
 
 def _root_sql(name: str) -> str:
-    paragraphs = f"list_transform({name}_leaves, l -> sha256(array_to_string(l, ',')))"
+    paragraphs = f"list_transform({name}_leaves, lambda l: sha256(array_to_string(l, ',')))"
     joined = f"array_to_string({paragraphs}, ';')"
     for end in "0123":
         joined = f"replace({joined}, '{end};', '{end}|')"
-    return f"sha256(array_to_string(list_transform(string_split({joined}, '|'), s -> sha256(s)), '/'))"
+    return f"sha256(array_to_string(list_transform(string_split({joined}, '|'), lambda s: sha256(s)), '/'))"
 
 
 def _like_sql(a: str, b: str) -> str:
@@ -131,17 +131,17 @@ SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(x) AS edited_sha256, {_root_
 FROM l""",
     "op5_mixing": r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-  md5('mix/' || doc_id::VARCHAR) AS at FROM documents),
+  md5('mix/' || doc_id::VARCHAR) AS ord FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS ss FROM d GROUP BY source),
 r AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, 2.0::DOUBLE * ss AS cap FROM s),
 o AS (SELECT *, sum(cap) OVER b - cap AS before, sum(w) OVER a AS open FROM r
   WINDOW b AS (ORDER BY cap / w, source NULLS LAST), a AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 v AS (SELECT *, ((SELECT sum(ss) FROM s)::DOUBLE * 1.5 - before) / open AS level FROM o),
-f AS (SELECT coalesce(min(level) FILTER (cap / w > level), max(level)) AS level FROM v),
+f AS (SELECT max(level) AS level FROM v),
 g AS (SELECT source, ss, least(cap, f.level * w) AS target FROM r, f),
 h AS (SELECT *, floor(target / greatest(ss, 1))::BIGINT AS whole FROM g),
 c AS (SELECT d.*, h.ss, h.target, h.whole, h.target - h.whole * h.ss AS rest,
-  sum(size) OVER (PARTITION BY d.source ORDER BY at) AS upto FROM d JOIN h ON d.source IS NOT DISTINCT FROM h.source)
+  sum(size) OVER (PARTITION BY d.source ORDER BY ord) AS upto FROM d JOIN h ON d.source IS NOT DISTINCT FROM h.source)
 SELECT doc_id, source, size, ss AS source_size, target,
   (size * (whole + CASE WHEN rest > 0 AND upto - size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM c""",
     "op6_line_dedup": r"""

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from codesift import settings
 
-_STRICT = {"allowSingleQuotes": "false"}
-_SEAL = "~end of array~"
-_FLOAT = r"r'(?i)^\s*[+-]?((\d+(_\d+)*)?\.?(\d+(_\d+)*)?(e[+-]?\d+(_\d+)*)?|inf|infinity)\s*$'"
+_NAMED = "~number~"
+# NaN and the infinities where an even number of quotes follows, that is outside of strings.
+_UNQUOTED = r'(?<![\w"])(-?(?:NaN|Infinity))(?!\w)(?=[^"\\]*+(?:"(?:[^"\\]|\\.)*+"[^"\\]*+)*+$)'
+_FLOAT = r"r'(?i)^\s*[+-]?((\d+(_\d+)*)?\.?(\d+(_\d+)*)?(e[+-]?\d+(_\d+)*)?|inf|infinity|nan)\s*$'"
 _INTEGRAL = r"r'^\s*[+-]?\d+(_\d+)*(\.0*)?\s*$'"
 _KEYS = (
     "vulnerability_type", "severity", "confidence", "description", "zero_day_likelihood",
@@ -37,36 +38,23 @@ def array_slice(response: Column) -> Column:
 
 
 def sealed_variant(cut: Column) -> Column:
-    """The span and a closing mark, parsed as one JSON array of two elements.
+    """The span and a closing mark (its digest, which it cannot hold), parsed as one JSON array of two elements.
 
     The parser ignores text after the first value; a span with such text does not reach
-    the mark.
+    the mark.  The three numbers that only Python's reader knows become arrays that name
+    them, so that they are of no kind but a number's.  Of repeated keys the last counts,
+    if the session allows them (``codesift.session.allow_repeated_keys``).
     """
-    return F.try_parse_json(F.concat(F.lit("["), cut, F.lit(f',"{_SEAL}"]')))
-
-
-def _decoded_texts(cut: Column) -> Column:
-    """Element texts of a strictly valid array, else null: the way for arrays with NaN or
-    repeated keys, which variants cannot hold.
-
-    The array is parsed inside two different wrappers; trailing text cannot be valid in
-    both.
-    """
-    as_field = F.from_json(F.concat(F.lit('{"v":'), cut, F.lit("}")), "v array<string>", _STRICT)["v"]
-    as_item = F.from_json(F.concat(F.lit("["), cut, F.lit("]")), "array<string>", _STRICT)
-    return F.when(F.size(as_item) == 1, as_field)
+    odd = cut.contains("NaN") | cut.contains("Infinity")
+    named = F.when(odd, F.regexp_replace(cut, _UNQUOTED, f'["{_NAMED}","$1"]')).otherwise(cut)
+    return F.try_parse_json(F.concat(F.lit("["), named, F.lit(',"'), F.md5(cut), F.lit('"]')))
 
 
 def items(cut: Column, sealed: Column) -> Column:
-    """Elements with their known keys as variants; null for an element that is no object,
-    or has NaN or a repeated key.  The array is null if the span is not valid JSON."""
-    reached = ~cut.contains(_SEAL) & (F.try_variant_get(sealed, "$[1]", "string") == _SEAL)
-    whole = F.when(reached, F.try_variant_get(sealed, "$[0]", _ITEMS_TYPE))
-    element = _ITEMS_TYPE.removeprefix("array<").removesuffix(">")
-    one_by_one = F.transform(
-        _decoded_texts(cut), lambda text: F.try_variant_get(F.try_parse_json(text), "$", element)
-    )
-    return F.coalesce(whole, one_by_one)
+    """Elements with their known keys as variants; null for an element that is no object.
+    The array is null if the span is not valid JSON."""
+    reached = F.try_variant_get(sealed, "$[1]", "string") == F.md5(cut)
+    return F.when(reached, F.try_variant_get(sealed, "$[0]", _ITEMS_TYPE))
 
 
 def _text(key: str) -> str:
@@ -81,6 +69,7 @@ def _kind_in(key: str, *kinds: str) -> str:
 def _number(key: str, default: float) -> str:
     """Value of a number-like field; null if it cannot be read as a number."""
     return f"""CASE WHEN x.{key} IS NULL THEN CAST({default} AS DOUBLE)
+        WHEN try_variant_get(x.{key}, '$[0]', 'string') = '{_NAMED}' THEN try_cast(try_variant_get(x.{key}, '$[1]', 'string') AS DOUBLE)
         WHEN schema_of_variant(x.{key}) <> 'STRING' THEN try_variant_get(x.{key}, '$', 'double')
         WHEN {_text(key)} RLIKE {_FLOAT} THEN try_cast(replace({_text(key)}, '_', '') AS DOUBLE) END"""
 
@@ -133,10 +122,11 @@ def mentions_vulnerability(response: Column) -> Column:
     return F.lower(response).rlike("|".join(settings.FALLBACK_WORDS))
 
 
-def fallback(response: Column) -> Column:
-    """Row for an undecodable response that names a weakness in its text."""
+def fallback(response: Column, chars: int | None = settings.FALLBACK_CHARS) -> Column:
+    """Row for an undecodable response that names a weakness, with its first ``chars`` characters (None: all)."""
+    shown = response if chars is None else F.left(response, F.lit(chars))
     description = F.concat(
-        F.lit(settings.FALLBACK_PREFIX), F.left(response, F.lit(settings.FALLBACK_CHARS)), F.lit("...")
+        F.lit(settings.FALLBACK_PREFIX), shown, F.lit("...")
     )
     none = F.lit(None)
     return F.struct(

@@ -67,7 +67,10 @@ def _round_exact(value: Column, scale: float) -> Column:
         .when(error < 0, below)
         .otherwise(F.rint(product))
     )
-    return F.when(F.abs(value) < F.lit(1e13), nearest / factor).otherwise(value)
+    # Larger values have at most nine binary digits after the point, which decimals hold
+    # exactly where it matters; from 2^53 on there are none.
+    large = F.bround(value.cast("decimal(38,10)"), len(str(int(scale))) - 1).cast("double")
+    return F.when(F.abs(value) < F.lit(1e13), nearest / factor).when(F.abs(value) < F.lit(2.0**53), large).otherwise(value)
 
 
 def round2(value: Column) -> Column:

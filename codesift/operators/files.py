@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from codesift import settings
 from codesift.functions import text
-from codesift.operators.joins import salted_join
+from codesift.operators.joins import sized_join
 
 
 def in_excluded_dir(rel_path: Column, excluded: list[str] | None = None) -> Column:
@@ -26,13 +26,17 @@ def prune_excluded(files: DataFrame, excluded: list[str] | None = None) -> DataF
     return files.where(~in_excluded_dir(F.col("rel_path"), excluded))
 
 
-def python_files(files: DataFrame, allowed: list[str] | None = None) -> DataFrame:
-    """Files that end in ``.py`` and in one of the allowed extensions."""
+def is_python(rel_path: Column, allowed: list[str] | None = None) -> Column:
+    """Whether a path ends in ``.py`` and in one of the allowed extensions."""
     allowed = settings.ALLOWED_EXTENSIONS if allowed is None else allowed
     keep = F.lit(False)
     for extension in allowed:
-        keep = keep | F.col("rel_path").endswith(extension)
-    return files.where(F.col("rel_path").endswith(".py") & keep)
+        keep = keep | rel_path.endswith(extension)
+    return rel_path.endswith(".py") & keep
+
+
+def python_files(files: DataFrame, allowed: list[str] | None = None) -> DataFrame:
+    return files.where(is_python(F.col("rel_path"), allowed))
 
 
 def total_files(files: DataFrame, excluded: list[str] | None = None) -> DataFrame:
@@ -47,18 +51,23 @@ def repo_sizes(files: DataFrame) -> DataFrame:
     )
 
 
+def oversize_message(size_mb: Column, max_mb: float = settings.MAX_REPO_SIZE_MB) -> Column:
+    return F.concat(F.lit("Repository size ("), text.one_decimal(size_mb), F.lit(f"MB) exceeds limit ({max_mb}MB)"))
+
+
 def oversized_repos(files: DataFrame, max_mb: float = settings.MAX_REPO_SIZE_MB) -> DataFrame:
     """Rejected repositories with the message that says why."""
-    message = F.concat(
-        F.lit("Repository size ("), text.one_decimal(F.col("size_mb")), F.lit(f"MB) exceeds limit ({max_mb}MB)")
-    )
-    return repo_sizes(files).where(F.col("size_mb") > max_mb).withColumn("error", message)
+    return repo_sizes(files).where(F.col("size_mb") > max_mb).withColumn("error", oversize_message(F.col("size_mb"), max_mb))
 
 
 def accepted_files(files: DataFrame, max_mb: float = settings.MAX_REPO_SIZE_MB) -> DataFrame:
-    """Files of the repositories within the size limit."""
+    """Files of the repositories within the size limit.
+
+    The rejected repositories are counted first and broadcast if they are few, so that
+    the text of the others stays where it is.
+    """
     rejected = oversized_repos(files, max_mb).select("repo_id")
-    return salted_join(files, rejected, ["repo_id"], "left_anti", ["rel_path"])
+    return sized_join(files, rejected, ["repo_id"], "left_anti", ["rel_path"])
 
 
 def analyzable(files: DataFrame, max_kb: float = settings.MAX_FILE_SIZE_KB) -> DataFrame:

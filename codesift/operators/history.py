@@ -66,26 +66,25 @@ def file_history(
 ) -> DataFrame:
     """The newest commits of every path at once, with the size of each commit.
 
-    One commit may touch a large share of all files, so the join with the commits salts
-    the hot ones; the sizes are the counts it needs for that.
+    Only dates travel to the paths before the limit; messages, authors and sizes join the
+    few rows that are left.  One commit may touch a large share of all files, so joins
+    with the commits salt the hot ones; the sizes are the counts they need for that.
     """
     touched = durable(commit_files.select("repo_id", "hash", "rel_path").distinct())
     sizes = durable(touched.groupBy("repo_id", "hash").agg(F.count("*").alias("files_changed")))
-    sized = commits.join(sizes, ["repo_id", "hash"])
     counts = sizes.withColumnRenamed("files_changed", "rows")
-    joined = skew_join(touched, sized, ["repo_id", "hash"], "inner", ["rel_path"], counts)
+    dated = skew_join(touched, commits.select("repo_id", "hash", "committed_at"), ["repo_id", "hash"], "inner", ["rel_path"], counts)
     by_date = Window.partitionBy("repo_id", "rel_path").orderBy(*_newest())
-    return (
-        joined.withColumn("position", F.row_number().over(by_date))
-        .where(F.col("position") <= newest)
-        .select(
-            "repo_id",
-            "rel_path",
-            "position",
-            "hash",
-            text.strip(F.col("message")).alias("message"),
-            "author",
-            F.date_format("committed_at", "yyyy-MM-dd'T'HH:mm:ss").alias("date"),
-            "files_changed",
-        )
+    listed = dated.withColumn("position", F.row_number().over(by_date)).where(F.col("position") <= newest)
+    details = commits.select("repo_id", "hash", text.strip(F.col("message")).alias("message"), "author").join(sizes, ["repo_id", "hash"])
+    joined = skew_join(listed, details, ["repo_id", "hash"], "inner", ["rel_path"], counts)
+    return joined.select(
+        "repo_id",
+        "rel_path",
+        "position",
+        "hash",
+        "message",
+        "author",
+        F.date_format("committed_at", "yyyy-MM-dd'T'HH:mm:ss").alias("date"),
+        "files_changed",
     )

@@ -10,16 +10,20 @@ from pyspark.sql import functions as F
 from codesift import settings
 from codesift.functions import responses as parse
 from codesift.functions import scores
+from codesift.session import allow_repeated_keys
 
 
 def parse_responses(
-    responses: DataFrame, assess: Callable[[Column, Column], Column] = scores.confidence_floor
+    responses: DataFrame,
+    assess: Callable[[Column, Column], Column] = scores.confidence_floor,
+    fallback_chars: int | None = settings.FALLBACK_CHARS,
 ) -> DataFrame:
     """``responses(repo_id, rel_path, kind, response)`` to one row per finding.
 
     Rows keep their place by ``part`` (analysis before zero_day) and ``pos``.
     A failed scorer call has a null response and gives nothing.
     """
+    allow_repeated_keys(responses.sparkSession)
     kind = F.col("kind")
     rows = (
         responses.select("repo_id", "rel_path", "kind", "response", parse.array_slice(F.col("response")).alias("cut"))
@@ -30,7 +34,7 @@ def parse_responses(
     none = F.array().cast(f"array<{parse.READ_TYPE}>")
     from_text = F.when(
         (kind == "analysis") & parse.mentions_vulnerability(F.col("response")),
-        F.array(parse.fallback(F.col("response"))),
+        F.array(parse.fallback(F.col("response"), fallback_chars)),
     ).otherwise(none)
     found = (
         F.when(F.col("cut").isNull(), none)

@@ -135,6 +135,11 @@ def recommendations(findings: DataFrame, repos: DataFrame) -> DataFrame:
     return repo_figures(findings, repos).select("repo_id", recommendation_column())
 
 
+def severity_counts(findings: DataFrame) -> DataFrame:
+    """Findings of every severity that occurs, known or not: ``(repo_id, severity, findings)``."""
+    return findings.groupBy("repo_id", "severity").agg(F.count("*").alias("findings"))
+
+
 def model_summary(findings: DataFrame, repos: DataFrame) -> DataFrame:
     """Summary of the model findings above the threshold; figures are null where there are none."""
     some = F.col("total") > 0

@@ -20,8 +20,10 @@ from codesift import settings
 _FLAGS = "(?idU)"
 # Constructs that Java and Python read differently.
 _NOT_SHARED = re.compile(
-    r"\(\?(?!:)|\\[bBAZzGRXhHvVNkpPQE0-9]|\[[^\]]*\[|\[\^?\]|&&|[*+?}]\+|\$|(?<!\\)\{(?!\d)"
+    r"\(\?(?!:)|\\[bBwWAZzGRXhHvVNkpPQE0-9]|\[[^\]]*\\S|\[[^\]]*\[|\[\^?\]|&&|[*+?}]\+|\$|(?<!\\)\{(?!\d)"
 )
+#: Hits of a line that are listed together.
+CHUNK = 200
 HITS_TYPE = "array<struct<rule_id:int,line:int,match:string,start:int,end:int>>"
 
 
@@ -98,13 +100,33 @@ def _wanted(folded: str, rule: Rule) -> str:
     return " AND ".join([f"contains({folded}, {_literal(text)})" for text in rule.literals] or ["true"])
 
 
+def _shared(pattern: str) -> str:
+    """The pattern for Spark: Python's white space has four separators more than Java's."""
+    out, at, in_class = [], 0, False
+    while at < len(pattern):
+        two = pattern[at : at + 2]
+        if two[0] == "\\":
+            space = {"\\s": r"\s\x1c-\x1f" if in_class else r"[\s\x1c-\x1f]", "\\S": r"[^\s\x1c-\x1f]"}
+            out.append(space.get(two, two))
+            at += 2
+            continue
+        in_class = two[0] != "]" if in_class else two[0] == "["
+        out.append(two[0])
+        at += 1
+    return "".join(out)
+
+
 def _rule_hits(rule: Rule) -> str:
-    """Hits of one rule in the line ``x`` (text, folded text): walk over the gaps and the matched texts."""
-    regex = _literal(_FLAGS + rule.pattern)
+    """Hits of one rule in the line ``x`` (text, folded text).
+
+    Gaps and matched texts are walked in chunks: the offset of a chunk is the sum of the
+    lengths before it, and only within a chunk is a list built up item by item.
+    """
+    regex = _literal(_FLAGS + _shared(rule.pattern))
     none = f"CAST(array() AS {HITS_TYPE})"
-    return f"""if({_wanted("x.`1`", rule)} AND x.`0` RLIKE {regex}, aggregate(
-        arrays_zip(split(x.`0`, {regex}, -1), regexp_extract_all(x.`0`, {regex}, 0)),
-        named_struct('at', 0, 'hits', {none}),
+    walk = f"""aggregate(
+        chunk,
+        named_struct('at', aggregate(slice(pieces.sizes, 1, nr), 0, (sum, size) -> sum + size), 'hits', {none}),
         (state, item) -> named_struct(
             'at', state.at + length(item.`0`) + coalesce(length(item.`1`), 0),
             'hits', if(item.`1` IS NULL, state.hits, concat(state.hits, array(named_struct(
@@ -113,7 +135,14 @@ def _rule_hits(rule: Rule) -> str:
                 'match', item.`1`,
                 'start', state.at + length(item.`0`),
                 'end', state.at + length(item.`0`) + length(item.`1`)))))),
-        state -> state.hits), {none})"""
+        state -> state.hits)"""
+    sizes = "transform(chunks, chunk -> aggregate(chunk, 0, (sum, item) -> sum + length(item.`0`) + coalesce(length(item.`1`), 0)))"
+    chunks = f"transform(sequence(0, (size(items) - 1) div {CHUNK}), nr -> slice(items, nr * {CHUNK} + 1, {CHUNK}))"
+    # One-element arrays give a name to what is used several times.
+    return f"""if({_wanted("x.`1`", rule)} AND x.`0` RLIKE {regex}, flatten(flatten(transform(
+        transform(transform(array(arrays_zip(split(x.`0`, {regex}, -1), regexp_extract_all(x.`0`, {regex}, 0))),
+            items -> {chunks}), chunks -> named_struct('chunks', chunks, 'sizes', {sizes})),
+        pieces -> transform(pieces.chunks, (chunk, nr) -> {walk})))), {none})"""
 
 
 def _file_hits(rules: list[Rule]) -> Column:

@@ -14,16 +14,14 @@ from codesift.functions import scores
 NO_FILES = "No Python files found for analysis"
 
 
-def stage_log(stage_events: DataFrame, stages: list[str] | None = None) -> DataFrame:
-    """Executed and failed stages and error messages per run, in stage order.
+def stage_log(stage_events: DataFrame) -> DataFrame:
+    """Executed and failed stages and error messages per run, in the order of the events.
 
-    Events are first reduced per (run, stage); the lists hold at most one entry per
-    known stage, however many events a run has.
+    Stages of any name count.  Events are first reduced per (run, stage); the lists hold
+    one entry per stage, however many events a run has.
     """
-    stages = settings.STAGES if stages is None else stages
     per_stage = (
-        stage_events.where(F.col("stage").isin(stages))
-        .groupBy("repo_id", "stage")
+        stage_events.groupBy("repo_id", "stage")
         .agg(
             F.min("ord").alias("ord"),
             F.bool_and("ok").alias("ok"),
@@ -46,11 +44,12 @@ def stage_log(stage_events: DataFrame, stages: list[str] | None = None) -> DataF
     )
 
 
-def run_table(repos: DataFrame, log: DataFrame) -> DataFrame:
+def run_table(repos: DataFrame, log: DataFrame, timeout_seconds: int = settings.PIPELINE_TIMEOUT_SECONDS) -> DataFrame:
     """``runs``: one row per repository with its status.
 
     ``repos(repo_id, url)`` may have ``python_files`` (a count of 0 adds the message),
-    ``abort`` (``timeout`` or another reason, overrides the status) and
+    ``abort`` (``timeout`` or another reason: overrides the status, adds a message and
+    leaves the time at 0), ``workflow_error`` (message of a failure outside the run) and
     ``execution_time_seconds``.
     """
     none = F.array().cast("array<string>")
@@ -60,36 +59,43 @@ def run_table(repos: DataFrame, log: DataFrame) -> DataFrame:
     if "python_files" in repos.columns:
         messages = F.when(F.col("python_files") == 0, F.array_append(messages, F.lit(NO_FILES))).otherwise(messages)
     abort = F.col("abort") if "abort" in repos.columns else F.lit(None).cast("string")
+    message = F.when(abort == "timeout", F.lit(f"Pipeline timed out after {timeout_seconds} seconds")).otherwise(
+        F.concat(F.lit("Pipeline failed: "), abort)
+    )
+    messages = F.when(abort.isNotNull(), F.array_append(messages, message)).otherwise(messages)
+    broken = F.col("workflow_error") if "workflow_error" in repos.columns else F.lit(None).cast("string")
     seconds = F.col("execution_time_seconds") if "execution_time_seconds" in repos.columns else F.lit(None)
     return joined.select(
         "repo_id",
         F.col("url").alias("repository_url"),
         scores.run_status(F.size(executed), F.size(failed), abort).alias("status"),
-        F.coalesce(seconds.cast("double"), F.lit(0.0)).alias("execution_time_seconds"),
+        F.when(abort.isNull(), F.coalesce(seconds.cast("double"), F.lit(0.0))).otherwise(0.0).alias("execution_time_seconds"),
         executed.alias("agents_executed"),
         failed.alias("agents_failed"),
         messages.alias("error_messages"),
         abort.alias("abort"),
+        broken.alias("workflow_error"),
     )
 
 
 def workflow_rows(runs: DataFrame, summary: DataFrame) -> DataFrame:
     """Runs with their findings and risk; defaults where a run has no summary.
 
-    A run counts as a workflow error only if it was aborted by something other than
-    the time limit.
+    A run that ends early, by the time limit or a failure of its own, is still a finished
+    workflow; its figures are the defaults.  Only a failure outside the run is an error.
     """
-    error = F.col("abort").isNotNull() & (F.col("abort") != "timeout")
+    error = F.col("workflow_error").isNotNull()
+    without = error | F.col("abort").isNotNull()
     figures = summary.select("repo_id", "total_vulnerabilities", "overall_risk")
     return runs.join(figures, "repo_id", "left").select(
         "repo_id",
         "repository_url",
         F.when(error, "error").otherwise("success").alias("workflow_status"),
         "status",
-        F.when(error, 0).otherwise(F.coalesce("total_vulnerabilities", F.lit(0))).cast("bigint").alias("vulnerabilities_found"),
-        F.when(error, "unknown").otherwise(F.coalesce("overall_risk", F.lit("unknown"))).alias("risk_level"),
+        F.when(without, 0).otherwise(F.coalesce("total_vulnerabilities", F.lit(0))).cast("bigint").alias("vulnerabilities_found"),
+        F.when(without, "unknown").otherwise(F.coalesce("overall_risk", F.lit("unknown"))).alias("risk_level"),
         F.when(error, 0.0).otherwise(F.col("execution_time_seconds")).alias("execution_time"),
-        F.when(error, F.col("abort")).alias("error_message"),
+        F.col("workflow_error").alias("error_message"),
     )
 
 

@@ -39,6 +39,11 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def allow_repeated_keys(spark: SparkSession) -> None:
+    """Let JSON objects with a repeated key be read, the last one counting, as Python's reader does."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the session may have ended with all it kept
         folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

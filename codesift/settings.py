@@ -15,6 +15,7 @@ DEPENDENCY_FILES = REQUIREMENTS_FILES + ["pyproject.toml", "setup.py", "Pipfile"
 README_FILES = ["README.md", "README.txt", "README.rst", "README"]
 LICENSE_FILES = ["LICENSE", "LICENSE.txt", "LICENSE.md", "COPYING"]
 MAX_REPO_SIZE_MB = 500
+PIPELINE_TIMEOUT_SECONDS = 1800
 MAX_FILE_SIZE_KB = 100
 README_CHARS = 5000
 LICENSE_CHARS = 1000
@@ -86,7 +87,6 @@ FILE_HISTORY_COMMITS = 10
 # --- our own labels ----------------------------------------------------------
 MODEL_SOURCE = "Model Analysis"
 STATIC_SOURCE = "Static Analysis"
-STAGES = ["ingestion", "static_analysis", "model_analysis", "report"]
 REPORT_FORMATS = ["json", "html", "txt"]
 
 # Literals that every match of a default pattern must contain, folded to lower

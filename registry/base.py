@@ -214,6 +214,7 @@ INPUTS["run_repos"] = ("orders", [
     "'run_' || CAST(o_orderkey AS STRING) AS repo_id",
     "'https://h/o/' || CAST(o_orderkey AS STRING) AS url",
     "CASE o_custkey % 10 WHEN 0 THEN 'timeout' WHEN 1 THEN 'clone failed' ELSE NULL END AS abort",
+    "CASE WHEN o_custkey % 7 = 2 THEN 'no builder' ELSE NULL END AS workflow_error",
     "CAST(o_custkey % 4 AS BIGINT) AS python_files",
     "o_totalprice AS execution_time_seconds",
 ])

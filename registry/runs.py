@@ -8,17 +8,19 @@ from codesift.operators import contracts, files
 from codesift.operators import runs as ops
 from registry.base import load, query, sql
 
-_LOG = """stages AS (SELECT repo_id, stage, min(ord) AS ord, bool_and(ok) AS ok, min(error) FILTER (NOT ok) AS error FROM stage_events WHERE stage <> 'other' GROUP BY ALL),
+_LOG = """stages AS (SELECT repo_id, stage, min(ord) AS ord, bool_and(ok) AS ok, min(error) FILTER (NOT ok) AS error FROM stage_events GROUP BY ALL),
 log AS (SELECT repo_id, coalesce(string_agg(stage, ',' ORDER BY ord) FILTER (ok), '') AS done, count(*) FILTER (ok) AS n_done,
  coalesce(string_agg(stage, ',' ORDER BY ord) FILTER (NOT ok), '') AS broken, count(*) FILTER (NOT ok) AS n_broken,
  coalesce(string_agg(error, ',' ORDER BY ord) FILTER (NOT ok), '') AS errors FROM stages GROUP BY repo_id),
-runs AS (SELECT r.*, coalesce(done, '') AS done, coalesce(broken, '') AS broken,
- CASE WHEN python_files > 0 THEN coalesce(errors, '') WHEN coalesce(errors, '') = '' THEN 'No Python files found for analysis' ELSE errors || ',No Python files found for analysis' END AS errors,
+runs AS (SELECT r.* EXCLUDE (execution_time_seconds), CASE WHEN abort IS NULL THEN execution_time_seconds ELSE 0 END AS execution_time_seconds, coalesce(done, '') AS done, coalesce(broken, '') AS broken,
+ concat_ws(',', nullif(errors, ''), CASE WHEN python_files = 0 THEN 'No Python files found for analysis' END,
+  CASE WHEN abort = 'timeout' THEN 'Pipeline timed out after 1800 seconds' WHEN abort IS NOT NULL THEN 'Pipeline failed: ' || abort END) AS errors,
  CASE WHEN abort = 'timeout' THEN 'timeout' WHEN abort IS NOT NULL THEN 'failure' WHEN coalesce(n_broken, 0) = 0 THEN 'success' WHEN n_done > n_broken THEN 'partial_success' ELSE 'failure' END AS status
  FROM run_repos r LEFT JOIN log l ON r.repo_id = l.repo_id),
-flows AS (SELECT u.repo_id, u.url AS repository_url, CASE WHEN abort <> 'timeout' THEN 'error' ELSE 'success' END AS workflow_status, status,
- CASE WHEN abort <> 'timeout' THEN 0 ELSE total_vulnerabilities END AS vulnerabilities_found, CASE WHEN abort <> 'timeout' THEN 'unknown' ELSE overall_risk END AS risk_level,
- CASE WHEN abort <> 'timeout' THEN 0 ELSE execution_time_seconds END AS execution_time, CASE WHEN abort <> 'timeout' THEN abort END AS error_message
+flows AS (SELECT u.repo_id, u.url AS repository_url, CASE WHEN workflow_error IS NOT NULL THEN 'error' ELSE 'success' END AS workflow_status, status,
+ CASE WHEN workflow_error IS NOT NULL OR abort IS NOT NULL THEN 0 ELSE total_vulnerabilities END AS vulnerabilities_found,
+ CASE WHEN workflow_error IS NOT NULL OR abort IS NOT NULL THEN 'unknown' ELSE overall_risk END AS risk_level,
+ CASE WHEN workflow_error IS NOT NULL THEN 0 ELSE execution_time_seconds END AS execution_time, workflow_error AS error_message
  FROM runs u JOIN run_summary s ON u.repo_id = s.repo_id)"""
 _INPUTS = "stage_events run_repos run_summary"
 

@@ -87,3 +87,9 @@ def test_run_status(spark):
     rows = spark.createDataFrame([(3, 0, None), (3, 1, None), (1, 1, None), (0, 1, None), (3, 0, "timeout"), (3, 0, "boom")], "e int, f int, a string")
     got = [r[0] for r in rows.select(scores.run_status(F.col("e"), F.col("f"), F.col("a"))).collect()]
     assert got == ["success", "partial_success", "failure", "failure", "timeout", "failure"]
+
+
+def test_rounding_of_large_values(spark):
+    values = [1e13 + 0.125, 1e13 + 0.126953125, 3.3e13 + 0.37890625, -1e13 - 0.625, 2.0**52 + 0.5, 2.0**53 + 2, 9e15, 1e300]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select(text.round2(F.col("v"))).collect()
+    assert [r[0] for r in got] == [round(v, 2) for v in values]

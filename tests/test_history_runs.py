@@ -41,17 +41,29 @@ def test_stage_log_and_batch(spark):
     assert (log["a"].agents_executed, log["a"].agents_failed, log["a"].error_messages) == (["ingestion", "report"], ["static_analysis"], ["bad"])
     assert (log["b"].agents_failed, log["b"].error_messages) == (["ingestion"], ["no clone"])
     repos = spark.createDataFrame(
-        [("a", "ua", None, 3), ("b", "ub", None, 3), ("c", "uc", None, 0), ("d", "ud", "timeout", 1), ("e", "ue", "boom", 1)],
-        "repo_id string, url string, abort string, python_files int",
+        [("a", "ua", None, 3, None, 2.5), ("b", "ub", None, 3, None, 1.0), ("c", "uc", None, 0, None, 1.0),
+         ("d", "ud", "timeout", 1, None, 9.0), ("e", "ue", "boom", 1, "no builder", 9.0)],
+        "repo_id string, url string, abort string, python_files int, workflow_error string, execution_time_seconds double",
     )
     table = runs.run_table(repos, runs.stage_log(events))
     got = {r.repo_id: r for r in table.collect()}
     assert [got[k].status for k in "abcde"] == ["partial_success", "failure", "success", "timeout", "failure"]
     assert got["c"].error_messages == [runs.NO_FILES]
+    assert got["d"].error_messages == ["Pipeline timed out after 1800 seconds"] and got["e"].error_messages == ["Pipeline failed: boom"]
+    assert [got[k].execution_time_seconds for k in "abcde"] == [2.5, 1.0, 1.0, 0.0, 0.0]
     summary = spark.createDataFrame([("a", 5, "High"), ("e", 9, "Low")], "repo_id string, total_vulnerabilities bigint, overall_risk string")
     flows = runs.workflow_rows(table, summary)
     assert {r.repo_id: (r.vulnerabilities_found, r.risk_level) for r in flows.collect()} == {
         "a": (5, "High"), "b": (0, "unknown"), "c": (0, "unknown"), "d": (0, "unknown"), "e": (0, "unknown")}
     assert tuple(runs.batch_rollup(flows).first()) == (5, 4, 1, 1, 5)
-    assert [(r.repo_id, r.error) for r in runs.failed(flows).collect()] == [("e", "boom")]
+    assert [(r.repo_id, r.error) for r in runs.failed(flows).collect()] == [("e", "no builder")]
     assert runs.succeeded(flows).count() == 4
+
+
+def test_stages_of_any_name_count(spark):
+    events = spark.createDataFrame(
+        [("a", "repo_ingestion", 1, True, None), ("a", "report_generation", 4, False, "Agent report_generation failed: x")],
+        "repo_id string, stage string, ord int, ok boolean, error string",
+    )
+    row = runs.run_table(spark.createDataFrame([("a", "u")], "repo_id string, url string"), runs.stage_log(events)).first()
+    assert (row.status, row.agents_executed, row.agents_failed) == ("failure", ["repo_ingestion"], ["report_generation"])

@@ -2,8 +2,8 @@
 
 import pytest
 
-import __spark_entry__ as contract
 from codesift.operators import dependencies, history, risk
+from registry import QUERIES
 from registry.base import load
 
 SF = "/root/testdata/sf0.001"
@@ -13,15 +13,15 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", [n for n in sorted(contract.queries()) if n[0] in "abcdhmprsu" and not n.startswith("s1_")])
+@pytest.mark.parametrize("name", [n for n in sorted(QUERIES) if n[0] in "abcdhmprsu" and not n.startswith("s1_")])
 def test_no_cross_joins(spark, name):
-    text = plan(contract.queries()[name](spark, SF))
+    text = plan(QUERIES[name](spark, SF))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
 @pytest.mark.parametrize("name", ["m3_rule_matches", "p13_all_findings", "s2_excluded_dir_prune", "s7_file_size_gate", "a5_dangerous_calls", "c3_security_score", "d2_requirements"])
 def test_narrow_operators_do_not_shuffle(spark, name):
-    text = plan(contract.queries()[name](spark, SF))
+    text = plan(QUERIES[name](spark, SF))
     assert "Exchange" not in text
 
 

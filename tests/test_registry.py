@@ -4,11 +4,12 @@ import pytest
 
 import __spark_entry__ as contract
 from check import compare
+from registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, name):
     ok, text = compare(spark, SF, name)
     assert ok, text

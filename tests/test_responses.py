@@ -17,6 +17,7 @@ def short(found):
 
 
 LLM = "llm_analysis"
+MEDIUM = ("unknown", "medium", 0.7, None, LLM)
 CASES = [
     # (response, findings as (type, severity, confidence, line, method))
     ("", []),
@@ -37,9 +38,13 @@ CASES = [
     ('[{"confidence":"1.0d"}]', []),
     ('[{"confidence":[1]}]', []),
     ('[{"confidence":{}}]', []),
-    ('[{"confidence":NaN},{}]', []),
-    ('[{},{"confidence":NaN},{}]', [("unknown", "medium", 0.7, None, LLM)]),
-    ('[{"severity":"low"},{"a":1,"a":2},{}]', [("unknown", "low", 0.5, None, LLM)]),
+    ('[{"severity":"low"},{"a":1,"a":2},{}]', [("unknown", "low", 0.5, None, LLM), MEDIUM, MEDIUM]),
+    ('[{"severity":"high","severity":"low"},{"severity":"critical"}]', [("unknown", "low", 0.5, None, LLM), ("unknown", "critical", 0.9, None, LLM)]),
+    ('[{},{"a":NaN,"b":"say \\"NaN\\", Infinity"},{}]', [MEDIUM] * 3),
+    ('[{"confidence":Infinity},{"confidence":-Infinity}]', [("unknown", "medium", float("inf"), None, LLM), MEDIUM]),
+    ('[{"severity":NaN},{}]', []),
+    ('[{"description":"NaN"}]', [MEDIUM]),
+    ('[NaN,{}]', []),
     ('[{"line_number":42.0}]', [("unknown", "medium", 0.7, 42, LLM)]),
     ('[{"line_number":"42"}]', [("unknown", "medium", 0.7, 42, LLM)]),
     ('[{"line_number":"42.0"}]', [("unknown", "medium", 0.7, 42, LLM)]),

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,3 +133,21 @@ def test_failed_file_still_counts_and_is_scanned(files):
     row = static.scored.first()
     assert (row.complexity_score, row.security_score, row.hits) == (0.0, 1.0, 1)
     assert static.findings().count() == 1
+
+
+def test_separators_are_white_space_and_word_marks_follow_python(spark, files):
+    texts = ['password\x1c= "x"', "k² = 1", "x = éx", "a\x1fb", "a\u0085b"]
+    patterns = [r"password\s*=\s*['\"][^'\"]+['\"]", r"k\w+ =", r"= \w+\w", r"a[\s]b", r"a\Sb"]
+    table = files([("r", f"{i}.py", t) for i, t in enumerate(texts)])
+    got = {(r.rel_path, r.rule_id, r.start, r.end) for r in rules.scan(table, rules.compile_rules(patterns)).collect()}
+    want = {(f"{i}.py", n, m.start(), m.end()) for i, t in enumerate(texts) for n, p in enumerate(patterns) for m in re.finditer(p, t, re.IGNORECASE)}
+    assert got == want
+
+
+def test_many_hits_on_a_line(spark, files):
+    line = 'x = "{}".format(a); ' * 40_000
+    begin = time.time()
+    rows = rules.scan(files([("r", "a.py", line)])).orderBy("start").collect()
+    spent = time.time() - begin
+    assert [r.start for r in rows] == [m.start() for m in re.finditer(r"\.format\s*\([^)]*\)", line)]
+    assert spent < 10

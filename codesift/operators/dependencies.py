@@ -48,13 +48,18 @@ def setup_names(content: Column) -> Column:
     return F.transform(_quoted(listed), lambda item: _cut(item, ["==", ">=", "<="]))
 
 
+def _strict(files: DataFrame) -> Column:
+    """Whether a file was valid UTF-8 before it was decoded; text of unknown origin speaks for itself."""
+    return F.col("strict_utf8") if "strict_utf8" in files.columns else F.is_valid_utf8("content")
+
+
 def parse_dependencies(files: DataFrame) -> DataFrame:
     """One row per name as written, duplicates kept: ``(repo_id, rel_path, name)``.
 
     All formats are read in one scan of the selected files.
     """
     path, content = F.col("rel_path"), text.universal_newlines(F.col("content"))
-    selected = dependency_files(files).where(F.is_valid_utf8("content")).select("repo_id", "rel_path", content.alias("content"))
+    selected = dependency_files(files).where(_strict(files)).select("repo_id", "rel_path", content.alias("content"))
     names = (
         F.when(path.isin(settings.REQUIREMENTS_FILES), requirement_names(F.col("content")))
         .when(path == "pyproject.toml", pyproject_names(F.col("content")))
@@ -88,7 +93,7 @@ def _first_present(files: DataFrame, names: list[str], chars: int, column: str)
     priority = F.array_position(F.array(*[F.lit(name) for name in names]), F.col("rel_path"))
     return (
         files.where(F.col("rel_path").isin(names))
-        .where(F.is_valid_utf8("content"))
+        .where(_strict(files))
         .select(
             "repo_id",
             priority.alias("priority"),

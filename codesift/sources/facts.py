@@ -93,15 +93,21 @@ def _note(node: ast.AST, found: dict) -> None:
 
 
 def extract_facts(files: DataFrame) -> DataFrame:
-    """``code_facts``: the input's columns without ``content``, plus the facts."""
+    """``code_facts``: the input's columns without ``content``, plus the facts.
+
+    A file with a ``read_error``, if there is such a column, has that as its parse error.
+    """
     kept = [name for name in files.columns if name != "content"]
     content_at = files.columns.index("content")
+    error_at = files.columns.index("read_error") if "read_error" in files.columns else None
     kept_at = [files.columns.index(name) for name in kept]
     fields = [files.schema[name] for name in kept] + StructType.fromDDL(FACTS_DDL).fields
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [file_facts(code or "") for code in batch.column(content_at).to_pylist()]
+            errors = batch.column(error_at).to_pylist() if error_at is not None else [None] * batch.num_rows
+            codes = batch.column(content_at).to_pylist()
+            rows = [{"parse_error": error} if error else file_facts(code or "") for code, error in zip(codes, errors, strict=True)]
             facts = pa.RecordBatch.from_pylist(rows, schema=_FACTS_ARROW)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(at) for at in kept_at] + facts.columns, names=kept + _FACTS_ARROW.names

@@ -7,6 +7,7 @@ spread over the directories of that level.  Only a count comes back to the drive
 
 from __future__ import annotations
 
+import contextlib
 import os
 from collections.abc import Iterator
 
@@ -21,19 +22,24 @@ _ENTRY_DDL = "repo_id string, rel_path string, size_bytes bigint, is_dir boolean
 _ENTRY_ARROW = pa.schema(
     [("repo_id", pa.string()), ("rel_path", pa.string()), ("size_bytes", pa.int64()), ("is_dir", pa.bool_())]
 )
-ENTRIES_PER_BATCH = 10_000
+ENTRIES_PER_BATCH, BYTES_PER_BATCH = 10_000, 8 << 20
 
 
 def _entries(root: str, repo: str, folder: str) -> Iterator[dict]:
-    """Entries of one directory; unreadable ones are passed over, links are not followed."""
+    """Entries of one directory as a directory walk has them.
+
+    A link to a directory is neither a file nor entered.  A file whose size cannot be told,
+    such as a link to nothing, has size 0.
+    """
     try:
         with os.scandir(os.path.join(root, repo, folder)) as found:
             for entry in found:
                 path = f"{folder}/{entry.name}" if folder else entry.name
-                try:
-                    is_dir = entry.is_dir(follow_symlinks=False)
+                is_dir, size = False, 0
+                with contextlib.suppress(OSError):
+                    is_dir = entry.is_dir()
                     size = 0 if is_dir else entry.stat().st_size
-                except OSError:
+                if is_dir and entry.is_symlink():
                     continue
                 yield {"repo_id": repo, "rel_path": path, "size_bytes": size, "is_dir": is_dir}
     except OSError:
@@ -71,24 +77,38 @@ def list_tree(spark: SparkSession, root: str, repos: DataFrame) -> DataFrame:
 
 
 def read_contents(files: DataFrame, root: str) -> DataFrame:
-    """Add ``content`` as tolerant text; files that cannot be read are left out.
+    """Add ``content`` as tolerant text, ``strict_utf8`` (whether the bytes were valid) and ``read_error``.
 
-    Filter by path and size first: only the rows given here are opened.
+    A file that cannot be read has no content and the reason.  Filter by path and size
+    first: only the rows given here are opened.
     """
     parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ddl = "repo_id string, rel_path string, size_bytes bigint, raw binary"
+    ddl = "repo_id string, rel_path string, size_bytes bigint, raw binary, read_error string"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([*list(_ENTRY_ARROW)[:3], ("raw", pa.binary())])
+        schema = pa.schema([*list(_ENTRY_ARROW)[:3], ("raw", pa.binary()), ("read_error", pa.string())])
         for batch in batches:
+            rows, size = [], 0
             for row in batch.to_pylist():
+                row |= {"raw": None, "read_error": None}
                 try:
                     with open(os.path.join(root, row["repo_id"], row["rel_path"]), "rb") as handle:
-                        yield pa.RecordBatch.from_pylist([{**row, "raw": handle.read()}], schema=schema)
-                except OSError:
-                    continue
+                        row["raw"] = handle.read()
+                except OSError as error:
+                    row["read_error"] = str(error)
+                rows.append(row)
+                size += len(row["raw"] or b"")
+                if size >= BYTES_PER_BATCH:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    rows, size = [], 0
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     rows = files.select("repo_id", "rel_path", "size_bytes").repartition(parts, "repo_id", "rel_path")
     return rows.mapInArrow(read, ddl).select(
-        "repo_id", "rel_path", "size_bytes", text.decode_utf8(F.col("raw")).alias("content")
+        "repo_id",
+        "rel_path",
+        "size_bytes",
+        text.decode_utf8(F.col("raw")).alias("content"),
+        F.is_valid_utf8(F.col("raw").cast("string")).alias("strict_utf8"),
+        "read_error",
     )

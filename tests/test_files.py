@@ -1,7 +1,9 @@
 from pyspark.sql import functions as F
 
 from codesift.operators import contracts, files as ops
+from codesift.operators import dependencies
 from codesift.sources import tree
+from codesift.sources.facts import extract_facts
 
 import pytest
 
@@ -52,7 +54,23 @@ def test_source_tree_lists_hidden_and_underscored_names(spark, tmp_path):
     listed = tree.list_tree(spark, str(tmp_path), repos)
     assert {(f"{r.repo_id}/{r.rel_path}", r.size_bytes) for r in listed.collect()} == {(k, len(v)) for k, v in content.items()}
     read = tree.read_contents(listed.where("rel_path LIKE '%.py'"), str(tmp_path))
-    assert {r.rel_path: r.content for r in read.collect()} == {"pkg/__init__.py": "", "a/b/c/d.py": "x\ny", "_x.py": "1"}
+    assert {r.rel_path: (r.content, r.strict_utf8) for r in read.collect()} == {"pkg/__init__.py": ("", True), "a/b/c/d.py": ("x\ny", False), "_x.py": ("1", True)}
+
+
+def test_links_and_unreadable_files(spark, tmp_path):
+    (tmp_path / "r/real").mkdir(parents=True)
+    (tmp_path / "r/real/a.py").write_bytes(b"eval(1)")
+    (tmp_path / "r/README.md").write_bytes(b"bad \xff bytes")
+    (tmp_path / "r/README.txt").write_bytes(b"good")
+    (tmp_path / "r/linked").symlink_to(tmp_path / "r/real")
+    (tmp_path / "r/gone.py").symlink_to(tmp_path / "r/nothing.py")
+    (tmp_path / "r/also.py").symlink_to(tmp_path / "r/real/a.py")
+    listed = tree.list_tree(spark, str(tmp_path), spark.createDataFrame([("r",)], "repo_id string"))
+    assert {(r.rel_path, r.size_bytes) for r in listed.collect()} == {("real/a.py", 7), ("README.md", 11), ("README.txt", 4), ("gone.py", 0), ("also.py", 7)}
+    read = tree.read_contents(listed, str(tmp_path))
+    assert dependencies.readme(read).first().readme_content == "good"
+    facts = {r.rel_path: r.parse_error for r in extract_facts(ops.python_files(read)).collect()}
+    assert facts["real/a.py"] is None and facts["also.py"] is None and "No such file" in facts["gone.py"]
 
 
 def test_contract(spark):

@@ -159,3 +159,23 @@ def test_prompts_and_scoring(spark, files):
     scored = {(r.rel_path, r.kind): (r.response, r.error) for r in score_prompts(table, make).collect()}
     assert scored["b.py", "zero_day"] == (None, "no answer")
     assert scored["a.py", "zero_day"] == ("[98306]", None)
+
+
+def test_batched_scorer_and_failing_set_up(spark):
+    table = spark.createDataFrame([("r", f"{i}", "analysis", "bad" if i == 3 else f"p{i}") for i in range(6)], "repo_id string, rel_path string, kind string, prompt string")
+
+    def make():
+        def score(texts):
+            if "bad" in texts:
+                raise ValueError("no answer")
+            return [t.upper() for t in texts]
+
+        return score
+
+    got = {r.rel_path: (r.response, r.error) for r in score_prompts(table, make, batched=True).collect()}
+    assert got == {f"{i}": (None, "no answer") if i == 3 else (f"P{i}", None) for i in range(6)}
+
+    def broken():
+        raise OSError("no model")
+
+    assert {(r.response, r.error) for r in score_prompts(table, broken).collect()} == {(None, "no model")}

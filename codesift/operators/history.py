@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codesift import settings
 from codesift.functions import text
-from codesift.operators.joins import skew_join
+from codesift.operators.joins import SALTS, skew_join
 from codesift.session import durable
 
 
@@ -40,10 +40,18 @@ def commit_counts(commits: DataFrame) -> DataFrame:
 
 
 def recent_contributors(commits: DataFrame, newest: int = settings.CONTRIBUTOR_COMMITS) -> DataFrame:
-    """Distinct authors of the newest commits; each task sends at most ``newest`` rows per repository."""
+    """Distinct authors of the newest commits.
+
+    Each task sends at most ``newest`` rows per repository and salt, and a first round per
+    salt leaves at most ``newest`` times the number of salts for the last one, however
+    many tasks hold commits of a repository.
+    """
     by_date = Window.partitionBy("repo_id").orderBy(*_newest())
+    by_salt = Window.partitionBy("repo_id", "_salt").orderBy(*_newest())
     return (
-        commits.select("repo_id", "hash", "author", "committed_at")
+        commits.select("repo_id", "hash", "author", "committed_at", F.pmod(F.xxhash64("hash"), F.lit(SALTS)).alias("_salt"))
+        .withColumn("_n", F.row_number().over(by_salt))
+        .where(F.col("_n") <= newest)
         .withColumn("_n", F.row_number().over(by_date))
         .where(F.col("_n") <= newest)
         .groupBy("repo_id")

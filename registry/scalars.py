@@ -16,10 +16,10 @@ def u1(spark, sf_dir):
 
 
 @query("u2_repo_name", sql("repo_urls", r"""
-WITH p AS (SELECT page_id, string_split(trim(regexp_replace(regexp_replace(repo_url, '^[A-Za-z][A-Za-z0-9+.-]*:', ''), '^//[^/]*|[?#].*', '', 'g'), '/'), '/') AS parts FROM repo_urls WHERE repo_url IS NOT NULL)
+WITH p AS (SELECT page_id, string_split(trim(regexp_replace(regexp_replace(repo_url, '^[A-Za-z][A-Za-z0-9+.-]*:', ''), '^//[^/]*|[?#].*', '', 'g'), '/'), '/') AS parts FROM repo_urls)
 SELECT page_id, CASE WHEN len(parts) >= 2 THEN parts[-2] || '_' || regexp_replace(parts[-1], '\.git$', '') ELSE 'unknown_repo' END AS name FROM p"""))
 def u2(spark, sf_dir):
-    rows = load(spark, sf_dir, "repo_urls").where("repo_url IS NOT NULL")
+    rows = load(spark, sf_dir, "repo_urls")
     return rows.select("page_id", urls.repo_name(F.col("repo_url")).alias("name"))
 
 

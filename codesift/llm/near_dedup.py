@@ -8,8 +8,8 @@ are cut into bands; documents that agree in a band are candidates.
 
 Candidates are tested without listing the pairs of a band's group.  First every member is
 tested against the group's first document, on the full sets.  Only groups whose members
-are then in different components are taken up again: pairs across components whose
-signatures are not too far apart are tested too.  With ``BANDS`` bands of ``ROWS`` slots a
+are then in different components are taken up again: in blocks, pairs across components
+whose signatures are not too far apart are tested until the components are one.  With ``BANDS`` bands of ``ROWS`` slots a
 pair at the threshold of 0.75 is missed with a probability below 3e-7, and a pair at the
 threshold is dropped by its signature (less than ``LEAST_ALIKE``) with one below 1e-7.
 """
@@ -36,8 +36,8 @@ BANDS, ROWS = 40, 4
 SLOTS = BANDS * ROWS
 #: Signatures of candidates across components agree in so many slots at least.
 LEAST_ALIKE = 0.56
-#: Members of a band's group that are compared at once; members of one hub in a task's stretch.
-BLOCK, SALT_ROWS = 256, 512
+#: Members of a band's group, and their shingles, in a block (about); members of one hub in a task's stretch.
+BLOCK, BLOCK_SHINGLES, SALT_ROWS = 512, 1_000_000, 512
 _BYTES, _ELEMENTS = 1 << 21, 100_000
 _STEPS = np.arange(1, SLOTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _KEYS, _BAND_KEYS = constants(SHINGLE, 1), constants(ROWS, 2)
@@ -134,12 +134,26 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             if hub != place:
                 raise ValueError("a member came without its hub")
-            common = len(np.intersect1d(own, found, assume_unique=True))
-            if common and 100 * common >= PERCENT * (len(own) + len(found) - common):
+            if _linked(own, found):
                 links.append((hub[0], doc))
         yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
+def _linked(a: np.ndarray, b: np.ndarray) -> bool:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common > 0 and 100 * common >= PERCENT * (len(a) + len(b) - common)
+
+
+def _with_texts(docs: DataFrame, places: DataFrame, width: int) -> DataFrame:
+    """The kept table ``places(doc_id, ...)``, rows of at most ``width`` bytes, with the documents' texts.
+
+    A document may have several places; their list is broadcast if its size allows it.
+    """
+    texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
+    small = places.count() * width <= BROADCAST_BYTES
+    return texts.join(F.broadcast(places) if small else places, "doc_id")
+
+
 def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of ``pairs(hub, doc_id)`` (kept, distinct) that are links on the full sets, as ``(a, b)``.
 
@@ -152,44 +166,110 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     members = durable(members.select("hub", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"), "doc_id"))
     hubs = members.groupBy("hub", "salt").agg(F.lit(True).alias("is_hub")).withColumn("doc_id", F.col("hub"))
     wanted = durable(members.withColumn("is_hub", F.lit(False)).unionByName(hubs))
-    texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    # A document may be wanted in several places; the list of places is broadcast if small.
-    if wanted.count() * 32 <= BROADCAST_BYTES:
-        placed = texts.join(F.broadcast(wanted), "doc_id")
-    else:
-        placed = texts.join(wanted, "doc_id")
-    placed = placed.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("is_hub").desc())
+    placed = _with_texts(docs, wanted, 32).repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("is_hub").desc())
     return placed.select("hub", "salt", "doc_id", "is_hub", "text").mapInPandas(_verified, "a long, b long")
 
 
-def _alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs across components with like signatures, of groups that follow one another in the stream."""
-    held = None
+_GROUP = ["band", "key", "bi", "bj"]
 
-    def pairs(group: pd.DataFrame) -> pd.DataFrame:
-        ids, comp, n, block = (group[c].to_numpy() for c in ("doc_id", "component", "n", "block"))
-        rows = np.stack([np.frombuffer(s, np.uint8) for s in group["signature"]])
-        left = np.flatnonzero(block == group["bi"].iat[0])
-        right = np.flatnonzero(block == group["bj"].iat[0])
-        found = []
-        for i in left:
-            other = right[(ids[right] > ids[i]) if group["bi"].iat[0] == group["bj"].iat[0] else (ids[right] != ids[i])]
-            other = other[(comp[other] != comp[i]) & (100 * np.minimum(n[other], n[i]) >= PERCENT * np.maximum(n[other], n[i]))]
-            other = other[(rows[other] == rows[i]).mean(axis=1) >= LEAST_ALIKE]
-            found += [(min(ids[i], ids[o]), max(ids[i], ids[o])) for o in other]
-        return pd.DataFrame(found, columns=["hub", "doc_id"], dtype="int64")
-
-    keys = ["band", "key", "bi", "bj"]
+
+def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Groups of rows that follow one another in the stream."""
+    held = None
     for batch in batches:
         batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        change = (batch[keys] != batch[keys].shift()).any(axis=1).to_numpy()
+        change = (batch[_GROUP] != batch[_GROUP].shift()).any(axis=1).to_numpy()
         starts = np.append(np.flatnonzero(change), len(batch))
-        out = [pairs(batch.iloc[a:b]) for a, b in zip(starts[:-2], starts[1:-1], strict=True) if b - a > 1]
+        for begin, end in zip(starts[:-2], starts[1:-1], strict=True):
+            yield batch.iloc[begin:end]
         held = batch.iloc[starts[-2] :]
-        if out:
-            yield pd.concat(out).drop_duplicates()
-    if held is not None and len(held) > 1:
-        yield pairs(held)
+    if held is not None:
+        yield held
+
+
+def _candidates(group: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows and their partners across components: like signatures and sizes, and no common band before this one."""
+    ids, comp, n, block = (group[c].to_numpy() for c in ("doc_id", "component", "n", "block"))
+    band, bi, bj = group["band"].iat[0], group["bi"].iat[0], group["bj"].iat[0]
+    rows = np.stack([np.frombuffer(s, np.uint8) for s in group["signature"]])
+    bands = np.stack([np.asarray(x, np.int64) for x in group["bands"]])
+    right = np.flatnonzero(block == bj)
+    for i in np.flatnonzero(block == bi):
+        other = right[ids[right] > ids[i]] if bi == bj else right
+        other = other[(comp[other] != comp[i]) & (100 * np.minimum(n[other], n[i]) >= PERCENT * np.maximum(n[other], n[i]))]
+        alike = (rows[other] == rows[i]).mean(axis=1)
+        near = alike >= LEAST_ALIKE
+        other, alike = other[near], alike[near]
+        first = (bands[other] == bands[i]).argmax(axis=1) == band
+        if first.any():
+            yield i, other[first][np.argsort(-alike[first], kind="stable")]
+
+
+def _wanted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows that have a partner."""
+    found = []
+    for group in _groups(batches):
+        if len(group) > 1 and (rows := {int(x) for i, other in _candidates(group) for x in (i, *other)}):
+            found.append(group.iloc[sorted(rows)])
+        if sum(map(len, found)) > BLOCK:
+            yield pd.concat(found)
+            found = []
+    if found:
+        yield pd.concat(found)
+
+
+def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links on the full sets between components that no earlier link of the group has joined."""
+    for group in _groups(batches):
+        sets, up = shingle_sets(list(group["text"])), {c: c for c in group["component"]}
+        ids, comp = group["doc_id"].to_numpy(), group["component"].to_numpy()
+
+        def root(c: int, up: dict[int, int] = up) -> int:
+            while up[c] != c:
+                up[c] = c = up[up[c]]
+            return c
+
+        links = []
+        for i, others in _candidates(group) if len(group) > 1 else ():
+            for o in others:
+                x, y = root(comp[i]), root(comp[o])
+                if x != y and _linked(sets[i], sets[o]):
+                    up[max(x, y)] = min(x, y)
+                    links.append((min(ids[i], ids[o]), max(ids[i], ids[o])))
+        if links:
+            yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+
+def across(docs: DataFrame, members: DataFrame, parts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Links between components whose documents meet in a band.
+
+    ``members(band, key, doc_id, n)``; ``parts(id, component)``; ``chosen`` has signatures.
+    Members of a band's group are dealt into blocks, those of its largest component apart
+    from the others, and every two blocks meet in one place unless both are of the former, first with their signatures, then, those that have a partner, with their texts;
+    only links come out.
+    """
+    placed = keyed_join(members, parts.withColumnsRenamed({"id": "doc_id"}).withColumn("rows", F.lit(BANDS)), ["doc_id"], "left", 32, ["band"])
+    placed = durable(placed.select("band", "key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component")))
+    # The largest component of a group need not meet itself.
+    shares = placed.groupBy("band", "key", "component").agg(F.count("*").alias("rows"), F.sum("n").alias("total"))
+    mixed = shares.groupBy("band", "key").agg(
+        F.max_by("component", F.struct("rows", "component")).alias("main"),
+        F.max("rows").alias("main_rows"), F.sum("rows").alias("rows"), F.sum("total").alias("total"), F.count("*").alias("parts"),
+    )
+    per_row = F.greatest(F.lit(1.0) / BLOCK, F.col("total") / F.col("rows") / BLOCK_SHINGLES)
+    first, others = F.ceil(F.col("main_rows") * per_row).cast("int"), F.ceil((F.col("rows") - F.col("main_rows")) * per_row).cast("int")
+    mixed = durable(mixed.where("parts > 1").select("band", "key", "main", first.alias("first"), others.alias("others"), "rows"))
+    rest = keyed_join(placed, mixed, ["band", "key"], "inner", 64, ["doc_id"]).drop("rows")
+    is_main, draw, until = F.col("component") == F.col("main"), F.xxhash64("doc_id"), F.col("first") + F.col("others") - 1
+    block = F.when(is_main, F.pmod(draw, F.col("first"))).otherwise(F.col("first") + F.pmod(draw, F.col("others"))).cast("int")
+    other = F.explode(F.sequence(F.when(is_main, F.col("first")).otherwise(0), until)).alias("_o")
+    rest = rest.withColumn("block", block).select("*", other)
+    rest = rest.withColumns({"bi": F.least("block", "_o"), "bj": F.greatest("block", "_o")})
+    columns = ["band", "key", "bi", "bj", "block", "doc_id", "n", "component"]
+    rest = rest.join(chosen.select("doc_id", "signature", "bands"), "doc_id").select(*columns, "signature", "bands")
+    wanted = rest.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInPandas(_wanted, rest.schema)
+    texts = _with_texts(docs, durable(wanted), 600).select(*columns, "signature", "bands", "text")
+    return texts.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInPandas(_across, "a long, b long")
 
 
 def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
@@ -206,22 +286,7 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     near = 100 * F.least("n", "hub_n") >= PERCENT * F.greatest("n", "hub_n")
     tested = durable(members.where(near & (F.col("doc_id") != F.col("hub"))).select("hub", "doc_id").distinct())
     found = durable(verify(docs, tested))
-    # Groups that are not yet in one component.
-    parts = components(found)
-    parts = durable(parts)
-    placed = keyed_join(members, parts.withColumnsRenamed({"id": "doc_id"}).withColumn("rows", F.lit(BANDS)), ["doc_id"], "left", 32, ["band"])
-    placed = durable(placed.select("band", "key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component")))
-    mixed = placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows"))
-    mixed = durable(mixed.where("lo < hi").select("band", "key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"), "rows"))
-    rest = keyed_join(placed, mixed, ["band", "key"], "inner", 48, ["doc_id"]).drop("rows")
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_o")
-    rest = rest.select("*", other).withColumns({"bi": F.least("block", "_o"), "bj": F.greatest("block", "_o")})
-    rest = rest.join(chosen.select("doc_id", "signature"), "doc_id").select("band", "key", "bi", "bj", "block", "doc_id", "n", "component", "signature")
-    keys = ["band", "key", "bi", "bj"]
-    more = rest.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_alike, "hub long, doc_id long").distinct()
-    more = durable(more.join(tested, ["hub", "doc_id"], "left_anti"))
-    return same.union(found).union(verify(docs, more))
+    return same.union(found).union(across(docs, members, durable(components(found)), chosen))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

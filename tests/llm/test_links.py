@@ -52,7 +52,8 @@ def test_near_duplicates_odd(spark):
     assert got.count() == len(data.rows()) and got.where("doc_id IS NULL AND kept").count() == 2
     left = near_dedup.drop_near_duplicates(docs)
     assert left.columns == docs.columns
-    assert [r["doc_id"] for r in left.where("doc_id IS NOT NULL").orderBy("doc_id").collect()] == [i for i in range(22) if i not in (1, 2, 8)]
+    parts = brute(list(enumerate(data.texts())))[1]
+    assert [r["doc_id"] for r in left.where("doc_id IS NOT NULL").orderBy("doc_id").collect()] == [i for i, c in parts.items() if i == c]
     assert near_dedup.near_duplicates(data.empty(spark)).count() == 0 == near_dedup.drop_near_duplicates(data.empty(spark)).count()
 
 

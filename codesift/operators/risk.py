@@ -135,7 +135,7 @@ def recommendations(findings: DataFrame, repos: DataFrame) -> DataFrame:
     return repo_figures(findings, repos).select("repo_id", recommendation_column())
 
 
-def severity_counts(findings: DataFrame) -> DataFrame:
+def severities_found(findings: DataFrame) -> DataFrame:
     """Findings of every severity that occurs, known or not: ``(repo_id, severity, findings)``."""
     return findings.groupBy("repo_id", "severity").agg(F.count("*").alias("findings"))
 

@@ -222,7 +222,7 @@ def p15(spark, sf_dir):
 
 @query("p15_model_severities", sql("responses", f"""WITH {_PARSED} SELECT repo_id, severity, count(*) AS findings FROM parsed WHERE confidence >= 0.7 GROUP BY ALL"""))
 def p15_severities(spark, sf_dir):
-    return risk.severity_counts(ops.confident(_parsed(spark, sf_dir)))
+    return risk.severities_found(ops.confident(_parsed(spark, sf_dir)))
 
 
 @query("p15_model_types", sql("responses", f"""WITH {_PARSED} SELECT repo_id, vulnerability_type, count(*) AS findings FROM parsed WHERE confidence >= 0.7 GROUP BY ALL"""))

@@ -15,12 +15,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Most words in a task's table, and characters of a word that is kept there.
-TABLE, LONGEST = 1 << 19, 200
+TABLE, LONGEST = 1 << 17, 200
 #: Characters of text whose new words are segmented in one call.
 BLOCK = 1 << 20
 _SPACES = re.compile("(?<=[^ ]) (?= *)")
@@ -87,36 +89,46 @@ class Chunks:
         yield from self._block(texts[begin:])
 
 
-def encoded(text: Column, model_file: str) -> Column:
-    """Struct of ids (begin, pieces, end as little-endian 32-bit integers) and decoded text; null texts as empty."""
-
-    @F.pandas_udf("struct<ids:binary,decoded:string>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        table = Chunks(model_file)
-        for texts in batches:
-            yield pd.DataFrame(table.encode(list(texts)), columns=["ids", "decoded"])
-
-    return encode(F.coalesce(text, F.lit("")))
-
-
 def id_list(ids: Column) -> Column:
-    """Binary ids as an array of integers."""
-    digits = F.hex(ids)
+    """A binary column of ids as an array of integers."""
 
     def at(i: Column) -> Column:
-        part = F.substring(digits, i * 8 + 1, F.lit(8))
-        return F.conv(F.concat(*[F.substring(part, k, 2) for k in (7, 5, 3, 1)]), 16, 10).cast("int")
+        digits = F.hex(F.substring(ids, i * 4 + 1, F.lit(4)))
+        return F.conv(F.concat(*[F.substring(digits, k, 2) for k in (7, 5, 3, 1)]), 16, 10).cast("int")
 
     return F.transform(F.sequence(F.lit(0), (F.octet_length(ids) / 4).cast("int") - 1), at)
 
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Begin and length of runs of texts of about BLOCK bytes."""
+    begin, size = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        size += n
+        if size > BLOCK:
+            yield begin, i + 1 - begin
+            begin, size = i + 1, 0
+    if begin < len(texts):
+        yield begin, len(texts) - begin
+
+
 def encode(docs: DataFrame, model_file: str) -> DataFrame:
-    """doc_id, ids (binary) and decoded of every row of ``docs(doc_id, text)``.
+    """doc_id, ids (binary: begin, pieces, end as little-endian 32-bit integers) and decoded of every row of ``docs(doc_id, text)``.
 
     A null or empty text has the begin and end ids only and decodes to an empty text.
     ``model_file`` must be readable on every executor.  Other columns are not read.
     """
-    return docs.select("doc_id", encoded(F.col("text"), model_file).alias("_e")).select("doc_id", "_e.ids", "_e.decoded")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Chunks(model_file)
+        for batch in batches:
+            for begin, length in _slices(batch.column(1)):
+                part = batch.slice(begin, length)
+                rows = list(table.encode([x or "" for x in part.column(1).to_pylist()]))
+                ids, back = pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, back], names=["doc_id", "ids", "decoded"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, decoded string")
 
 
 def decode(encoded_rows: DataFrame, model_file: str) -> DataFrame:

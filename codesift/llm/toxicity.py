@@ -64,7 +64,7 @@ def vector(text: str, columns_of: Callable[[str], Iterable[int]]) -> tuple[list[
         for column in columns_of(word):
             values[column] = values.get(column, 0) + n
     columns = sorted(values)
-    return columns, [values[c] / total**0.5 for c in columns]
+    return columns, [values[c] / max(total, 1) ** 0.5 for c in columns]
 
 
 def _counted(categories: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:

@@ -119,6 +119,63 @@ def test_graph_recall():
     assert len(found) == len(who) and len(true & found) >= 0.99 * len(true)
 
 
+def hot_and_pairs(n=8000, hot=2600, d=24):
+    """A hot cluster of unequal near copies beside many pairs, in noise."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(n, d))
+    x[:hot] = x[0] + 0.1 * rng.normal(size=(hot, d))
+    x[hot + 1 :: 2] = x[hot:-1:2] + 0.2 * rng.normal(size=((n - hot) // 2, d))
+    return (x / np.linalg.norm(x, axis=1, keepdims=True))[rng.permutation(n)]
+
+
+def test_audit_sees_lost_pairs(monkeypatch):
+    """A walk that loses all links to other rows but those of hot rows, or all of other shards' queries, does not pass."""
+    x = hot_and_pairs()
+    graph, others = embeddings.Graph(x[::2]), x[1::2]
+    many = (x[::2] @ x[::2].T >= 0.9).sum(axis=1) > 100
+    walked = embeddings.Graph.walk
+
+    def losing(lost):
+        def walk(self, q, k, start, beam, limit=None, within=2.0):
+            best, hits = walked(self, q, k, start, beam, limit, within)
+            if within < 2 and beam == embeddings.BEAM:
+                bad = lost(q)
+                itself = [np.einsum("nd,nd->n", q[w], self.x[r]) > 1 - 1e-6 for w, r in hits]
+                best[bad], hits = -1, [(w[s | ~bad[w]], r[s | ~bad[w]]) for (w, r), s in zip(hits, itself, strict=True)]
+            return best, hits
+
+        return walk
+
+    def is_own(q):
+        return (q @ graph.x.T).max(axis=1) > 1 - 1e-6
+
+    hot = x[::2][many].mean(axis=0)
+    monkeypatch.setattr(embeddings.Graph, "walk", losing(lambda q: q @ hot < 0.9 * np.linalg.norm(hot)))
+    assert graph.audited_beam(embeddings.BEAM, 0.9) > embeddings.BEAM
+    monkeypatch.setattr(embeddings.Graph, "walk", losing(lambda q: ~is_own(q)))
+    assert graph.audited_beam(embeddings.BEAM, 0.9, others) > embeddings.BEAM
+
+
+def test_recall_beside_a_hot_cluster():
+    x = hot_and_pairs()
+    graph, q = embeddings.Graph(x[::2]), x[1::2]
+    who, rows = graph.search(q, graph.audited_beam(embeddings.BEAM, 0.9, q), 0.9 - 1e-4)
+    found = np.zeros((len(q), len(x[::2])), bool)
+    found[who, rows] = True
+    true = q @ x[::2].T >= 0.9
+    linked = true.any(axis=1)
+    assert ((true & found).sum(axis=1)[linked] / true.sum(axis=1)[linked]).mean() >= 0.99
+
+
+def test_comparison_of_all_rows():
+    x = hot_and_pairs(600, 200)
+    graph = embeddings.Graph(x[:300])
+    who, rows = graph.search(x, 300, 0.9)
+    true = np.nonzero(x.astype(np.float32) @ x[:300].astype(np.float32).T >= 0.9)
+    assert sorted(zip(who.tolist(), rows.tolist(), strict=True)) == sorted(zip(*(a.tolist() for a in true), strict=True))
+    assert [len(a) for a in graph.search(x[:0], 300, 0.9)] == [0, 0]
+
+
 def test_pipeline(spark, tmp_path):
     """Every stage against its own input by plain versions; the whole gives what the stages give."""
     folder = data.tables(spark, tmp_path / "in")

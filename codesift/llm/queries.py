@@ -39,6 +39,11 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edits(table(spark, sf_dir, "documents"))
 
 
+def op2_located_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removed, added and moved paragraphs; beside op2_fingerprints, whose columns are those of its SQL."""
+    return fingerprints.locate_edits(table(spark, sf_dir, "documents"))
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -94,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+#: Further results of the operators, without SQL.
+MORE: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_located_edits": op2_located_edits}
+
 #: A tree in SQL: sentence, paragraph, section and root digests of the text column ``t``.
 _TREE = r"""
     list_transform(string_split(replace(replace(replace(p, '. ', '. ' || chr(10)), '! ', '! ' || chr(10)), '? ', '? ' || chr(10)), chr(10)), lambda s: sha256(s))"""

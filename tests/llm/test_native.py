@@ -1,7 +1,9 @@
 """Fingerprints, sharding, mixing and line dedup against plain versions."""
 
 import hashlib
+import random
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,6 +74,64 @@ def test_edits_locate_paragraphs(spark):
     assert df.select(fingerprints.edits(F.col("tx"), F.col("ty"))).first()[0] == [1]
 
 
+def longest_rising(ranks):
+    best = []
+    for i, x in enumerate(ranks):
+        best.append(1 + max((best[j] for j in range(i) if ranks[j] < x), default=0))
+    return max(best, default=0)
+
+
+def test_located_edits(spark):
+    """Removed, added and moved paragraphs by position and count, against a plain version, and the edits made anew."""
+    rng = random.Random(8)
+    table = [("x\ny", "y\nx"), ("x\ny", "x\ny\nz"), ("x\nx\ny", "x\ny"), ("a", "a"), ("", "q"), ("a\nb\nc\nd", "b\nc\nd\na")]
+    for _ in range(150):
+        a = [f"p{rng.randrange(40)}" for _ in range(rng.randrange(1, 30))]
+        b = list(a)
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(b) + 1)
+            if rng.random() < 0.4:
+                b.insert(at, f"p{rng.randrange(45)}")
+            elif len(b) > 1:
+                out = b.pop(at % len(b))
+                if rng.random() < 0.5:
+                    b.insert(rng.randrange(len(b) + 1), out)
+        table.append(("\n".join(a), "\n".join(b)))
+    df = spark.createDataFrame([(i, *row) for i, row in enumerate(table)], "id int, x string, y string")
+    df = fingerprints.trees(fingerprints.trees(df, "x", "tx"), "y", "ty")
+    got = {r["id"]: r["e"] for r in df.select("id", fingerprints.located(F.col("tx"), F.col("ty")).alias("e")).collect()}
+    assert [(got[i]["removed"], got[i]["added"], [tuple(m) for m in got[i]["moved"]]) for i in (1, 2, 3)] == [([], [2], []), ([1], [], []), ([], [], [])]
+    assert len(got[0]["moved"]) == 1 and [tuple(m) for m in got[5]["moved"]] == [(0, 3)]
+    for i, (x, y) in enumerate(table):
+        x, y, e = x.split("\n"), y.split("\n"), got[i]
+        moved = [tuple(m) for m in e["moved"]]
+        assert all(x[p] == y[q] for p, q in moved)
+        assert Counter(x[p] for p in e["removed"]) == Counter(x) - Counter(y)
+        assert Counter(y[q] for q in e["added"]) == Counter(y) - Counter(x)
+        gone, come = {*e["removed"], *(p for p, _ in moved)}, {*e["added"], *(q for _, q in moved)}
+        # What stays is the same on both sides, in order.
+        assert [w for p, w in enumerate(x) if p not in gone] == [w for q, w in enumerate(y) if q not in come]
+        start = next((n for n, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+        end = next((n for n, (p, q) in enumerate(zip(x[start:][::-1], y[start:][::-1], strict=False)) if p != q), min(len(x), len(y)) - start)
+        # No fewer could have moved, given how occurrences are paired.
+        places, ranks = {}, []
+        for q in range(start, len(y) - end):
+            places.setdefault(y[q], []).append(q)
+        for p in range(start, len(x) - end):
+            if places.get(x[p]):
+                ranks.append(places[x[p]].pop(0))
+        assert len(moved) == len(ranks) - longest_rising(ranks)
+
+
+def test_located_edits_of_documents(spark):
+    rows = fingerprints.locate_edits(data.docs(spark)).collect()
+    assert len(rows) == len(data.rows())
+    for r in rows:
+        assert r["n_paragraphs"] - len(r["removed"]) == r["n_edited"] - len(r["added"])
+    assert fingerprints.locate_edits(data.empty(spark)).count() == 0
+    assert not nodes(plan_of(fingerprints.locate_edits(data.docs(spark).repartition(2))).split("Scan")[0])
+
+
 def test_sharding(spark):
     docs = data.docs(spark)
     got = sharding.assign(docs).collect()

@@ -179,3 +179,10 @@ def test_batched_scorer_and_failing_set_up(spark):
         raise OSError("no model")
 
     assert {(r.response, r.error) for r in score_prompts(table, broken).collect()} == {(None, "no model")}
+
+
+def test_empty_arrays_are_in_the_salvage(spark):
+    from registry import QUERIES
+
+    rows = QUERIES["p9_prefix_salvage_all"](spark, "/root/testdata/sf0.001").where("items = 0").collect()
+    assert rows and all(r["kept"] == 0 for r in rows)

@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codesift.llm import embeddings, fingerprints, language, line_dedup, mixing, near_dedup, quality, sentencepiece, sharding, toxicity
+from codesift.llm import (
+    embeddings, fill_middle, fingerprints, language, line_dedup, manifest, mixing, near_dedup, quality, rule_ledger, sentencepiece, sharding, toxicity,
+)
+from codesift.session import durable
 
 #: Environment variable with the SentencePiece model; without it the installed public one.
 MODEL_VARIABLE = "SENTENCEPIECE_MODEL"
@@ -91,11 +94,52 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(docs, quality.fit(docs, table(spark, sf_dir, "labels")))[0]
 
 
+def op11_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements, failure bits and the verdict of the latest policy for every document.
+
+    Extra columns: fail_bits, policy, sole_rule (the one rule that rejects the document),
+    regained (documents of the table that the policy would keep without that rule).
+    """
+    ledger = durable(rule_ledger.record(rule_ledger.measure(table(spark, sf_dir, "documents"))))
+    policy = rule_ledger.POLICIES[-1]
+    judged = rule_ledger.apply_policy(ledger, policy).withColumn("base_failed", rule_ledger.failed(rule_ledger.BASE) != 0)
+    # One row per rule of the policy.
+    regained = rule_ledger.ablations(ledger, (policy,)).select(F.col("rule").alias("sole_rule"), "regained")
+    return judged.join(F.broadcast(regained), "sole_rule", "left").select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "fail_bits", "policy", "sole_rule", "regained",
+    )
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proof of every document in the manifest, checked against a copy in which every seventh is tampered with."""
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    hit = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 7 == 0
+    tampered = manifest.leaf_digest([F.col(c) + 1 if c == "n_chars" else F.col(c) for c in fields])
+    leaves = table(spark, sf_dir, "documents").select(
+        F.col("lang").alias("group"), F.col("doc_id").alias("key"), manifest.leaf_digest([F.col(c) for c in fields]).alias("digest"), F.when(hit, tampered).alias("tampered")
+    )
+    proofs = manifest.prove(leaves).withColumn("folded_root", manifest.fold(F.coalesce("tampered", "digest"), F.col("path")))
+    return proofs.select(
+        F.col("key").alias("doc_id"), F.col("digest").alias("leaf"), "subroot", "root", manifest.proof_digest(F.col("path")).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    restored = fill_middle.restore(F.col("output"), F.col("form"))
+    return cut.select(
+        "doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language, op2_fingerprints, op3_minhash_dedup, op4_sharding, op5_mixing, op6_line_dedup,
-        op7_sentencepiece, op8_embedding_dedup, op9_toxicity, op10_quality,
+        op7_sentencepiece, op8_embedding_dedup, op9_toxicity, op10_quality, op11_rule_ledger, op12_manifest, op13_fill_middle,
     )
 }
 
@@ -128,6 +172,17 @@ def _like_sql(a: str, b: str) -> str:
     )
 
 
+def _field_sql(value: str) -> str:
+    return f"coalesce(strlen(({value})::VARCHAR) || ':' || ({value})::VARCHAR, '-')"
+
+
+#: A leaf, the crc32 of a text, the next level of a list of nodes, and the side and sibling of position {pos}, in SQL.
+_LEAF = f"sha256({' || '.join(_field_sql(c) for c in ('doc_id', 'source', 'lang', '{n_chars}', 'text'))})"
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({text}) + 1), lambda i: ascii(({text})[i])::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT)"""
+_PAIRS = "list_transform(range(0, (len(l) + 1) // 2), lambda i: sha256(l[2 * i + 1] || coalesce(l[2 * i + 2], '')))"
+_SIBLING = "CASE WHEN ({pos} >> k) & 1 = 1 THEN 'L' || l[({pos} >> k)] ELSE 'R' || coalesce(l[({pos} >> k) + 2], '') END"
+
 ORACLES: dict[str, str] = {
     "op2_fingerprints": f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -166,4 +221,41 @@ t AS (SELECT y.doc_id, string_agg(line, chr(10) ORDER BY y.no) FILTER (g.no IS N
   FROM y LEFT JOIN g ON g.doc_id = y.doc_id AND g.no = y.no GROUP BY y.doc_id)
 SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(kept, '') END AS text, coalesce(n, 0)::INTEGER AS n_lines, coalesce(gone, 0)::INTEGER AS n_deleted
 FROM d LEFT JOIN t USING (doc_id)""",
+    "op11_rule_ledger": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+b AS (SELECT r, doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls,
+  list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: array_to_string(w[i:i+2], ' ')) AS g FROM d),
+x AS (SELECT r, unnest(g) AS g, generate_subscripts(g, 1) AS i FROM b),
+y AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM x),
+z AS (SELECT r, count(DISTINCT i + k)::BIGINT AS n FROM y, (VALUES (0), (1), (2)) AS v(k) WHERE n > 1 GROUP BY r),
+m AS (SELECT b.*, len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(z.n, 0) AS n_repeat_words FROM b LEFT JOIN z USING (r)),
+f AS (SELECT *, (n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT + 8 * (2 * n_dup_lines > n_lines)::INT
+  + 16 * (word_chars < 2 * n_words)::INT + 32 * (word_chars > 20 * n_words)::INT AS bits FROM m),
+s AS (SELECT *, CASE bits WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_words' WHEN 4 THEN 'symbols' WHEN 8 THEN 'repeated_lines' WHEN 16 THEN 'short_words' WHEN 32 THEN 'long_words' END AS sole_rule FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits & 3 <> 0 AS base_failed, bits = 0 AS kept, bits::BIGINT AS fail_bits,
+  'clean@2' AS policy, sole_rule, CASE WHEN sole_rule IS NOT NULL THEN count(*) OVER (PARTITION BY sole_rule) END AS regained FROM s""",
+    "op12_manifest": rf"""
+WITH RECURSIVE d AS (SELECT *, {_LEAF.format(n_chars="n_chars")} AS leaf, {_LEAF.format(n_chars="n_chars + 1")} AS odd, {_CRC32.format(text="doc_id::VARCHAR")} % 7 = 0 AS hit,
+  row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM documents),
+lv(lang, k, l) AS (SELECT lang, 0, list(leaf ORDER BY pos) FROM d GROUP BY lang
+  UNION ALL SELECT lang, k + 1, {_PAIRS} FROM lv WHERE len(l) > 1),
+subs AS (SELECT lang, l[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM lv WHERE len(l) = 1),
+tops(k, l) AS (SELECT 0, list(subroot ORDER BY tree) FROM subs UNION ALL SELECT k + 1, {_PAIRS} FROM tops WHERE len(l) > 1),
+low AS (SELECT doc_id, leaf, list({_SIBLING.format(pos="pos")} ORDER BY k) AS path FROM d JOIN lv ON d.lang IS NOT DISTINCT FROM lv.lang WHERE len(l) > 1 GROUP BY doc_id, leaf),
+high AS (SELECT lang, list({_SIBLING.format(pos="tree")} ORDER BY k) AS path FROM subs, tops WHERE len(l) > 1 GROUP BY lang),
+p AS (SELECT d.*, subroot, (SELECT l[1] FROM tops WHERE len(l) = 1) AS root, list_concat(coalesce(low.path, []), coalesce(high.path, [])) AS path
+  FROM d JOIN subs ON d.lang IS NOT DISTINCT FROM subs.lang LEFT JOIN low ON d.doc_id IS NOT DISTINCT FROM low.doc_id AND d.leaf = low.leaf LEFT JOIN high ON d.lang IS NOT DISTINCT FROM high.lang),
+f AS (SELECT *, list_reduce(list_prepend(CASE WHEN hit THEN odd ELSE leaf END, path), lambda a, x: sha256(CASE x[1] WHEN 'L' THEN x[2:] || a ELSE a || x[2:] END)) AS folded FROM p)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda x: x[2:]), '')) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM f""",
+    "op13_fill_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+n AS (SELECT *, length(t)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM n),
+c AS (SELECT *, left(t, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM c""",
 }

@@ -25,13 +25,14 @@ def constants(n: int, salt: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_GOLD) + np.uint64(salt)) | np.uint64(1)
 
 
-def _lower() -> np.ndarray:
+def _bytes(fold: bool) -> np.ndarray:
     table = np.arange(256, dtype=np.uint64)
-    table[65:91] += np.uint64(32)
+    if fold:
+        table[65:91] += np.uint64(32)
     return mix((table + np.uint64(1)) * np.uint64(_GOLD))
 
 
-_LOWER = _lower()
+_LOWER, _EXACT = _bytes(True), _bytes(False)
 # Kinds of bytes: lower case, upper case, digit, each ASCII mark by itself, the rest as letters.
 _KIND = np.arange(256, dtype=np.uint64)
 _KIND[97:123] = 97
@@ -61,14 +62,14 @@ def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(before & ~space), space
 
 
-def _hash(data: np.ndarray, starts: np.ndarray, space: np.ndarray) -> np.ndarray:
-    """One value per word, of its bytes and their places; A-Z as a-z."""
+def _hash(data: np.ndarray, starts: np.ndarray, space: np.ndarray, table: np.ndarray = _LOWER) -> np.ndarray:
+    """One value per word, of its bytes and their places; A-Z as a-z unless another table is given."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     first = starts[0]
     data, space, starts = data[first:], space[first:], starts - first
     place = np.arange(len(data), dtype=np.uint64) - np.repeat(starts, np.diff(starts, append=len(data))).astype(np.uint64)
-    parts = mix(_LOWER[data] + place * np.uint64(_GOLD))
+    parts = mix(table[data] + place * np.uint64(_GOLD))
     parts[space] = 0
     return mix(np.add.reduceat(parts, starts))
 
@@ -113,14 +114,14 @@ def batches(texts: list[str]) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
         yield first, len(texts), b"\n".join(held), np.cumsum([0] + [len(x) + 1 for x in held[:-1]])
 
 
-def word_hashes(texts: list[str], shapes: bool = False) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
-    """Hashes of all words of all texts in order, their shapes if wanted, and the number of words of each text."""
+def word_hashes(texts: list[str], shapes: bool = False, fold: bool = True) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """Hashes of all words of all texts in order (A-Z as a-z if ``fold``), their shapes if wanted, and the number of words of each text."""
     counts = np.zeros(len(texts), np.int64)
     hashes, forms = [], []
     for first, after, piece, offsets in batches(texts):
         data = np.frombuffer(piece, np.uint8)
         starts, space = _words(data)
-        hashes.append(_hash(data, starts, space))
+        hashes.append(_hash(data, starts, space, _LOWER if fold else _EXACT))
         if shapes:
             forms.append(_shapes(data, starts, space))
         counts[first:after] += np.diff(np.searchsorted(starts, offsets), append=len(starts))

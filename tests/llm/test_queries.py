@@ -23,7 +23,7 @@ def test_oracle(spark, name):
 
 def test_registered():
     assert set(queries.QUERIES) | {"pipeline"} <= set(contract.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 @pytest.fixture(scope="module")

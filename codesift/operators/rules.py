@@ -1,20 +1,28 @@
 """Pattern rules over the lines of files.
 
-Rules are unrolled into one array expression per file, so a scan with any number of
-rules reads the text once and shuffles nothing.
+A scan reads the text once and shuffles nothing.  A few rules are unrolled into one array
+expression per file.  A large table of rules does not enter the plan: tasks build an
+automaton over one text of each rule, which finds the candidate pairs of rule and line in a
+single pass, and only these pairs meet a pattern.  Patterns that would backtrack over
+``.*`` are matched in an equal form that takes linear time (``patterns.linear``).
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codesift import settings
+from codesift.operators import patterns
+from codesift.operators.joins import BROADCAST_BYTES
 
 # Case folding, the class of spaces and the dot follow Python's rules.
 _FLAGS = "(?idU)"
@@ -24,6 +32,8 @@ _NOT_SHARED = re.compile(
 )
 #: Hits of a line that are listed together.
 CHUNK = 200
+#: Most rules that are unrolled into the plan.
+UNROLLED = 24
 HITS_TYPE = "array<struct<rule_id:int,line:int,match:string,start:int,end:int>>"
 
 
@@ -39,7 +49,11 @@ class Rule:
     pattern: str
     literals: tuple[str, ...] = ()
 
-    @property
+    @cached_property
+    def linear(self) -> str | None:
+        return patterns.linear(self.pattern)
+
+    @cached_property
     def native(self) -> bool:
         """Whether Spark's regular expressions give the same matches."""
         return not _NOT_SHARED.search(self.pattern) and not re.search(self.pattern, "", re.IGNORECASE)
@@ -57,16 +71,19 @@ class RuleSet:
         return spark.createDataFrame(list(self.warnings), "pattern string, warning string")
 
 
-def compile_rules(patterns: list[str], literals: list[list[str]] | None = None) -> RuleSet:
-    """Number the patterns; those that do not compile are left out with a warning."""
+def compile_rules(listed: list[str], literals: list[list[str]] | None = None) -> RuleSet:
+    """Number the patterns; those that do not compile are left out with a warning.
+
+    Without ``literals`` the texts that a match must hold are read off the patterns.
+    """
     rules, warned = [], []
-    for at, pattern in enumerate(patterns):
+    for at, pattern in enumerate(listed):
         try:
             re.compile(pattern, re.IGNORECASE)
         except re.error as error:
             warned.append((pattern, f"Invalid regex pattern {pattern}: {error}"))
             continue
-        rules.append(Rule(at, pattern, tuple(literals[at]) if literals else ()))
+        rules.append(Rule(at, pattern, tuple(literals[at]) if literals else patterns.required(pattern)))
     return RuleSet(tuple(rules), tuple(warned))
 
 
@@ -87,6 +104,10 @@ def _literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+#: Letters that equal an ASCII letter when case is ignored.
+_ODD = str.maketrans("İıſ\u212a", "iisk")
+
+
 def fold(text: Column) -> Column:
     """Lower case in which letters that are equal when case is ignored are the same.
 
@@ -122,8 +143,13 @@ def _rule_hits(rule: Rule) -> str:
     Gaps and matched texts are walked in chunks: the offset of a chunk is the sum of the
     lengths before it, and only within a chunk is a list built up item by item.
     """
-    regex = _literal(_FLAGS + _shared(rule.pattern))
     none = f"CAST(array() AS {HITS_TYPE})"
+    if rule.linear:
+        regex = _literal(_FLAGS + _shared(rule.linear))
+        return f"""if({_wanted("x.`1`", rule)} AND x.`0` RLIKE {regex}, transform(
+            array(named_struct('before', length(regexp_extract(x.`0`, {regex}, 1)), 'match', regexp_extract(x.`0`, {regex}, 2))),
+            hit -> named_struct('rule_id', {rule.rule_id}, 'line', number + 1, 'match', hit.match, 'start', hit.before, 'end', hit.before + length(hit.match))), {none})"""
+    regex = _literal(_FLAGS + _shared(rule.pattern))
     walk = f"""aggregate(
         chunk,
         named_struct('at', aggregate(slice(pieces.sizes, 1, nr), 0, (sum, size) -> sum + size), 'hits', {none}),
@@ -160,23 +186,67 @@ def _file_hits(rules: list[Rule]) -> Column:
         (x, number) -> concat({", ".join(per_rule)}))), {none})""")
 
 
+class Matcher:
+    """Hits of many rules in a text, by Python's regular expressions.
+
+    Of every rule the longest text that its matches hold goes into an automaton; a line in
+    which it occurs is a candidate, and meets the pattern if it holds the rule's other texts
+    too.  Rules without such a text meet every line.
+    """
+
+    def __init__(self, rules: list[Rule]) -> None:
+        import ahocorasick
+
+        self.rules = [(r.rule_id, re.compile(r.linear or r.pattern, re.IGNORECASE), bool(r.linear), r.literals) for r in rules]
+        self.always = [n for n, r in enumerate(rules) if not r.literals]
+        keyed: dict[str, list[int]] = {}
+        for n, rule in enumerate(rules):
+            if rule.literals:
+                keyed.setdefault(max(rule.literals, key=len), []).append(n)
+        self.automaton = ahocorasick.Automaton()
+        for text, numbers in keyed.items():
+            self.automaton.add_word(text, numbers)
+        if keyed:
+            self.automaton.make_automaton()
+        self.keyed = bool(keyed)
+
+    def candidates(self, folded: str, lines: list[str]) -> list[tuple[int, int]]:
+        """Pairs of line and rule, both from 0, in order."""
+        pairs = {(line, n) for line in range(len(lines)) for n in self.always}
+        if self.keyed:
+            starts = [0, *accumulate(len(x) + 1 for x in lines)]
+            for end, numbers in self.automaton.iter(folded):
+                line = bisect_right(starts, end) - 1
+                pairs.update((line, n) for n in numbers)
+        return sorted(pairs)
+
+    def hits(self, content: str) -> list[dict]:
+        lines = content.split("\n")
+        folded = content.translate(_ODD).lower()
+        low = folded.split("\n")
+        out = []
+        for line, n in self.candidates(folded, low):
+            rule_id, regex, whole, literals = self.rules[n]
+            if all(text in low[line] for text in literals):
+                found = [regex.match(lines[line])] if whole else regex.finditer(lines[line])
+                for hit in found:
+                    if hit is not None:
+                        start, end = hit.span(2 if whole else 0)
+                        out.append({"rule_id": rule_id, "line": line + 1, "match": hit.group(2 if whole else 0), "start": start, "end": end})
+        return out
+
+
 def _add_python_hits(rows: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Append the hits of rules that only Python's regular expressions can express."""
-    patterns = [(rule.rule_id, rule.pattern) for rule in rules]
+    """Append the hits of rules that are many, or that only Python's regular expressions can express."""
     names = rows.columns
     text_at, hits_at = names.index("content"), names.index("hits")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = [(rule_id, re.compile(pattern, re.IGNORECASE)) for rule_id, pattern in patterns]
+        matcher = Matcher(rules)
         for batch in batches:
             hits = batch.column(hits_at).to_pylist()
             for row, content in enumerate(batch.column(text_at).to_pylist()):
-                hits[row] = (hits[row] or []) + [
-                    {"rule_id": rule_id, "line": number, "match": hit.group(), "start": hit.start(), "end": hit.end()}
-                    for number, line in enumerate((content or "").split("\n"), 1)
-                    for rule_id, regex in compiled
-                    for hit in regex.finditer(line)
-                ]
+                hits[row] = (hits[row] or []) + matcher.hits(content or "")
             columns = list(batch.columns)
             columns[hits_at] = pa.array(hits, batch.schema.field(hits_at).type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -190,13 +260,27 @@ def _folded(files: DataFrame) -> DataFrame:
 
 def with_hits(files: DataFrame, rules: RuleSet) -> DataFrame:
     """Add ``hits``, all matches in a file as an array; the file bounds its length."""
-    native = [rule for rule in rules.rules if rule.native]
-    others = [rule for rule in rules.rules if not rule.native]
-    rows = _folded(files).withColumn("hits", _file_hits(native)).drop("_folded")
+    native, others = _split(rules)
+    if native:
+        rows = _folded(files).withColumn("hits", _file_hits(native)).drop("_folded")
+    else:
+        rows = files.withColumn("hits", F.array().cast(HITS_TYPE))
     return _add_python_hits(rows, others) if others else rows
 
 
+def _split(rules: RuleSet) -> tuple[list[Rule], list[Rule]]:
+    """Rules that are unrolled, and the others."""
+    if len(rules.rules) > UNROLLED:
+        return [], list(rules.rules)
+    return [rule for rule in rules.rules if rule.native], [rule for rule in rules.rules if not rule.native]
+
+
 def _labelled(hits: DataFrame, rules: RuleSet) -> DataFrame:
+    if len(rules.rules) > UNROLLED:
+        table = rules.table(hits.sparkSession)
+        if sum(len(rule.pattern) * 4 + 32 for rule in rules.rules) <= BROADCAST_BYTES:
+            table = F.broadcast(table)
+        return hits.join(table, "rule_id").select("repo_id", "rel_path", "rule_id", "pattern", "line", "match", "start", "end")
     pattern = F.when(F.lit(False), F.lit(""))
     for rule in rules.rules:
         pattern = pattern.when(F.col("rule_id") == rule.rule_id, F.lit(rule.pattern))
@@ -212,7 +296,7 @@ def scan(files: DataFrame, rules: RuleSet | None = None) -> DataFrame:
     """All matches of all rules in the lines of the files."""
     rules = default_rules() if rules is None else rules
     rows = files.select("repo_id", "rel_path", "content")
-    if any(not rule.native for rule in rules.rules):
+    if _split(rules)[1]:
         return explode_hits(with_hits(rows, rules), rules)
     # The generator gets the expression itself: for a column the optimizer would add a
     # filter on its size, and push it down to where the hits are computed a second time.

@@ -70,3 +70,19 @@ def m5(spark, sf_dir):
 @query("m5_hits_per_rule", sql(_INPUTS, f"WITH {_HITS} SELECT repo_id, rel_path, rule_id, count(*) AS hits FROM found GROUP BY ALL"))
 def m5_rule(spark, sf_dir):
     return ops.hits_per_rule(ops.scan(texts(spark, sf_dir), rule_set()))
+
+
+#: A table of a thousand rules: assignments of one key, brands, and keys by their last digits.
+_MANY = {r'api_key\s*=\s*"k{}"': 600, 'brand#{}"': 100, r'=\s*"k\d*{}"': 300}
+_MANY_SQL = " UNION ALL ".join(
+    f"SELECT {start} + n AS rule_id, {quoted(pattern.split('{}')[0])} || n || '\"' AS pattern, {key} || n || '\"' AS part FROM range({count}) t(n)"
+    for (pattern, count), start, key in zip(_MANY.items(), (0, 600, 700), ("'k'", "'brand#'", "''"), strict=True)
+)
+
+
+@query("m1_large_rule_table", sql(_INPUTS, f"""WITH rules AS ({_MANY_SQL}), lines AS ({_LINES}), low AS (SELECT *, lower(text) AS folded FROM lines WHERE contains(text, '"')),
+found AS (SELECT repo_id, rel_path, rule_id, CAST(line AS INTEGER) AS line, regexp_extract_all(text, '(?i)' || pattern, 0) AS hits FROM low JOIN rules ON contains(folded, part))
+SELECT repo_id, rel_path, CAST(rule_id AS INTEGER) AS rule_id, line, unnest(hits) AS match FROM found"""))
+def m1_large(spark, sf_dir):
+    rules = ops.compile_rules([pattern.replace("{}", str(n)) for pattern, count in _MANY.items() for n in range(count)])
+    return ops.scan(texts(spark, sf_dir), rules).select("repo_id", "rel_path", "rule_id", "line", "match")

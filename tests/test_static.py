@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codesift import settings
 from codesift.operators import facts as fact_ops
-from codesift.operators import rules, scoring
+from codesift.operators import patterns, rules, scoring
 from codesift.plans.audit import static_audit
 from codesift.sources.facts import extract_facts, file_facts
 
@@ -81,6 +81,63 @@ def test_rules_outside_the_shared_syntax_use_python(files):
     assert hits(files, texts, rule_set) == expected_hits(texts, patterns)
 
 
+GAPS = [r"foo.*", r".*foo", r".+a.*", r"a.*b+", r"[ab].*[^x]y+", r"a.b\s+.*\s*c.*.*d*", r"a.+a", r"aa.*aa.*aa", r"a\S+.*\d*x\d", *settings.SUSPICIOUS_PATTERNS[3::2]]
+
+
+def test_linear_form_is_equal():
+    """On random lines of pieces of the patterns, the linear form finds what the pattern finds."""
+    rng, found = random.Random(3), 0
+    pieces = ["a", "b", "aa", "f", "foo", "'", '"', "{", "}", "SELECT ", "select", " ", "\t", "from", " FROM ", "+", "x", "y", "1", "\r", "é", "d", "c"]
+    for _ in range(20_000):
+        pattern, line = rng.choice(GAPS), "".join(rng.choice(pieces) for _ in range(rng.randrange(14)))
+        wanted = [m.span() for m in re.finditer(pattern, line, re.IGNORECASE)]
+        hit = re.match(patterns.linear(pattern), line, re.IGNORECASE)
+        assert ([hit.span(2)] if hit else []) == wanted, (pattern, line)
+        found += bool(wanted)
+    assert found > 1000
+
+
+@pytest.mark.parametrize("pattern", ["ab", "a.*", "(a).*b", "a|b.*c", "^a.*b", r"a\b.*c", "a.*?b", "a{2}.*b", "a+b.*c", ".*", ".*a*", "a?.*b"])
+def test_linear_form_only_where_it_is_equal(pattern):
+    assert (patterns.linear(pattern) is not None) == (pattern == "a.*")
+
+
+def test_required_texts():
+    wanted = {r"a+b*c": ("a", "c"), r"x(foo|bar)+baz?": ("ba", "x"), "a|b": (), r"\bkey\b": ("key",), "(?x)a b": (), "[a]b{2}cd": ("cd",), r"\.Fo[|(]\(": (".fo", "("), "éa": ("a",)}
+    assert {p: patterns.required(p) for p in wanted} == wanted
+
+
+@pytest.mark.parametrize("line", ["+ " * 24_500 + "select a from " * 3500, "select a from " * 7000, "+" + "select " * 7000 + " from " * 8000, "+ from " + "select " * 14_000])
+def test_long_lines_take_linear_time(spark, files, line):
+    """A line of 98 KB that the pattern itself would not end on, by columns and by Python."""
+    table = files([("r", "a.py", line), ("r", "b.py", line + " +")])
+    scanned = [rules.default_rules(), rules.compile_rules([*settings.SUSPICIOUS_PATTERNS, *[f"never{n}" for n in range(30)]])]
+    begin = time.time()
+    # Without a plus after it, the text holds no match; with one, the match ends there.
+    got = [sorted((r.rel_path, r.start, r.end) for r in rules.scan(table, s).where("rule_id = 3").collect()) for s in scanned]
+    spent = time.time() - begin
+    begins = line.find("select ")
+    whole = "from" in line[begins:]
+    assert got == [[("b.py", begins, len(line) + 2)] if whole else []] * 2
+    assert spent < 2 * len(scanned) + 4
+
+
+def test_rule_tables_of_any_size(files, monkeypatch):
+    """A thousand rules find what ``re`` finds, with a plan that does not grow."""
+    rng = random.Random(11)
+    texts = ["\n".join(" ".join(rng.choice(["key", "Kez", "x12", "x7=", "paſs9", "+", "select", "from", "é", "v.1"]) for _ in range(rng.randrange(9))) for _ in range(6)) for _ in range(60)]
+    listed = [rf"x{n}\s*=?" for n in range(600)] + [rf"pass{n}|q{n}" for n in range(200)] + [rf"(key|x)\s+.{n}" for n in range(100)] + [rf"select.*from.*{n}" for n in range(98)] + [r"\bkey\b", "a*"]
+    assert hits(files, texts, rules.compile_rules(listed)) == expected_hits(texts, listed)
+    sizes = [len(re.sub(r"\d+", "", rules.scan(files([("r", "a", "x")]), rules.compile_rules(listed[:n]))._jdf.queryExecution().executedPlan().toString())) for n in (30, 1000)]
+    assert sizes[1] <= sizes[0] * 1.05
+    few = rules.scan(files([("r", "a", "x")]), rules.compile_rules(listed[:10]))._jdf.queryExecution().executedPlan().toString()
+    assert sizes[1] < len(few)
+    few = rules.compile_rules(settings.SUSPICIOUS_PATTERNS)
+    want = hits(files, texts, few)
+    monkeypatch.setattr(rules, "UNROLLED", 0)
+    assert hits(files, texts, few) == want
+
+
 def test_bad_rule_is_skipped_with_a_warning(spark):
     rule_set = rules.compile_rules(["a(", "b"])
     assert [r.rule_id for r in rule_set.rules] == [1]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from codesift import settings
 from codesift.functions import text
-from codesift.operators.joins import sized_join
+from codesift.operators.membership import without
 
 
 def in_excluded_dir(rel_path: Column, excluded: list[str] | None = None) -> Column:
@@ -63,11 +63,10 @@ def oversized_repos(files: DataFrame, max_mb: float = settings.MAX_REPO_SIZE_MB)
 def accepted_files(files: DataFrame, max_mb: float = settings.MAX_REPO_SIZE_MB) -> DataFrame:
     """Files of the repositories within the size limit.
 
-    The rejected repositories are counted first and broadcast if they are few, so that
-    the text of the others stays where it is.
+    Whatever the number of rejected repositories, the text stays where it is
+    (``membership``).
     """
-    rejected = oversized_repos(files, max_mb).select("repo_id")
-    return sized_join(files, rejected, ["repo_id"], "left_anti", ["rel_path"])
+    return without(files, oversized_repos(files, max_mb), "repo_id")
 
 
 def analyzable(files: DataFrame, max_kb: float = settings.MAX_FILE_SIZE_KB) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codesift import settings
 from codesift.operators.joins import sized_join
+from codesift.sources import bucketed
 
 KINDS = ("analysis", "zero_day")
 PROMPT_CHARS = settings.CONTEXT_LENGTH * settings.CHARS_PER_TOKEN
@@ -54,8 +55,15 @@ def truncated(content: Column, chars: int = PROMPT_CHARS) -> Column:
 
 
 def with_context(files: DataFrame, contexts: DataFrame) -> DataFrame:
-    """Files with their repository's dependency context, empty where there is none."""
-    joined = sized_join(files, contexts, ["repo_id"], "left", ["rel_path"])
+    """Files with their repository's dependency context, empty where there is none.
+
+    Contexts that are too large to be broadcast are brought to the files of a bucketed
+    table by their buckets; any other table of files is shuffled with them then.
+    """
+    if bucketed.PART in files.columns:
+        joined = bucketed.join_small(files, contexts, "repo_id")
+    else:
+        joined = sized_join(files, contexts, ["repo_id"], "left", ["rel_path"])
     return joined.withColumn("context", F.coalesce("context", F.lit("")))
 
 

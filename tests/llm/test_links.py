@@ -114,7 +114,7 @@ def test_graph_recall():
     x[:800] = x[0] + 0.1 * x[:800]
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     graph = embeddings.Graph(x)
-    who, rows = graph.search(x[:1500], graph.audited_beam(embeddings.BEAM, 0.9), 0.9)
+    who, rows = graph.search(x[:1500], graph.audited_beam(embeddings.BEAM, 0.9)[0], 0.9)
     found, true = set(zip(who.tolist(), rows.tolist(), strict=True)), set(zip(*(a.tolist() for a in np.nonzero(x[:1500] @ x.T >= 0.9 + 1e-5)), strict=True))
     assert len(found) == len(who) and len(true & found) >= 0.99 * len(true)
 
@@ -151,15 +151,15 @@ def test_audit_sees_lost_pairs(monkeypatch):
 
     hot = x[::2][many].mean(axis=0)
     monkeypatch.setattr(embeddings.Graph, "walk", losing(lambda q: q @ hot < 0.9 * np.linalg.norm(hot)))
-    assert graph.audited_beam(embeddings.BEAM, 0.9) > embeddings.BEAM
+    assert graph.audited_beam(embeddings.BEAM, 0.9)[0] > embeddings.BEAM
     monkeypatch.setattr(embeddings.Graph, "walk", losing(lambda q: ~is_own(q)))
-    assert graph.audited_beam(embeddings.BEAM, 0.9, others) > embeddings.BEAM
+    assert graph.audited_beam(embeddings.BEAM, 0.9, others[:500])[0] > embeddings.BEAM
 
 
 def test_recall_beside_a_hot_cluster():
     x = hot_and_pairs()
     graph, q = embeddings.Graph(x[::2]), x[1::2]
-    who, rows = graph.search(q, graph.audited_beam(embeddings.BEAM, 0.9, q), 0.9 - 1e-4)
+    who, rows = graph.search(q, graph.audited_beam(embeddings.BEAM, 0.9, q[:500])[0], 0.9 - 1e-4)
     found = np.zeros((len(q), len(x[::2])), bool)
     found[who, rows] = True
     true = q @ x[::2].T >= 0.9
@@ -167,6 +167,54 @@ def test_recall_beside_a_hot_cluster():
     assert ((true & found).sum(axis=1)[linked] / true.sum(axis=1)[linked]).mean() >= 0.99
 
 
+def test_shards_of_thousands_are_walked(spark, monkeypatch):
+    """Hundreds of links over several shards and blocks: no shard compares all its rows, and recall against brute force is 0.99."""
+    rng = np.random.default_rng(12)
+    n, d = 26_000, 48
+    x = rng.normal(size=(n, d))
+    x[1:1201:2] = x[:1200:2] + 0.25 * rng.normal(size=(600, d))
+    x[2000:2300] = x[2000] + 0.12 * rng.normal(size=(300, d))
+    monkeypatch.setattr(embeddings, "SHARDS", 4)
+    monkeypatch.setattr(embeddings, "QUERY_ROWS", 10_000)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, shard int").repartition(8)
+    rows = sorted(embeddings.near_duplicates(df).collect())
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links, pairs = np.zeros(n, int), []
+    for part in range(0, n, 2000):
+        near = unit[part : part + 2000] @ unit.T >= 0.9
+        near[np.arange(len(near)), part + np.arange(len(near))] = False
+        links[part : part + 2000] = near.sum(axis=1)
+        pairs += [(part + a, b) for a, b in zip(*np.nonzero(near), strict=True)]
+    assert links.sum() > 2000
+    got = np.array([r["n_links"] for r in rows])
+    assert (got <= links).all() and got.sum() >= 0.99 * links.sum()
+    want = data.components(range(n), pairs)
+    assert np.mean([r["component_id"] == want[r["vec_id"]] for r in rows]) > 0.9995
+    assert {r["beam"] for r in rows} == {max(r["beam"] for r in rows)} and rows[0]["beam"] <= 400 and rows[0]["recall"] >= embeddings.RECALL
+
+
+def test_probes_widen_a_beam_that_is_too_narrow():
+    """Rows without any link are audited too."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(4000, 96))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = embeddings.Graph(x)
+    probes = graph._probes(0.9)
+    beam, recall = graph.audited_beam(1, 0.9)
+    assert 1 < beam < len(x) and recall >= embeddings.RECALL
+    again = embeddings.Graph.of(x, graph.arrays())
+    for q in (probes, x[:50]):
+        assert [a.tolist() for a in graph.search(q, beam, 0.9)] == [a.tolist() for a in again.search(q, beam, 0.9)]
+
+
+def test_repeated_and_null_ids_of_vectors(spark):
+    """Vectors of one id make one component, whatever they link to; rows without id link with nothing."""
+    near, far = [1.0, 0.0, 0.1], [0.0, 1.0, 0.0]
+    rows = [(5, [1.0, 0.0, 0.0]), (3, far), (3, near), (9, [0.0, 2.0, 0.0]), (None, near), (None, far), (7, [0.0, 0.0, 1.0])]
+    got = sorted(map(tuple, embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).select("vec_id", "component_id", "kept").collect()), key=str)
+    assert got == sorted([(5, 3, False), (3, 3, True), (3, 3, True), (9, 3, False), (None, None, True), (None, None, True), (7, 7, True)], key=str)
+
+
 def test_comparison_of_all_rows():
     x = hot_and_pairs(600, 200)
     graph = embeddings.Graph(x[:300])

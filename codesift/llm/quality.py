@@ -4,8 +4,10 @@ Two bag-of-n-grams models over hashed buckets: the raw model counts all document
 target model the documents labelled good.  N-grams are words, pairs of words, and pairs and
 triples of word shapes (kinds of characters, and whether the word repeats the one before),
 so that layout and noise count beside vocabulary.  The importance weight of a document is
-the ratio of its probabilities under the two models, per n-gram.  Documents are drawn
-without replacement in proportion to a power of the weights by Gumbel top-k.
+the ratio of its probabilities under the two models, as that of a text of LENGTH n-grams
+of the same kind, so that long texts do not decide by their length.  Documents are drawn
+without replacement in proportion to the weights by Gumbel top-k: the k largest sums of a
+log weight and standard Gumbel noise.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ SAMPLE = 20_000
 SMOOTH = 1.0
 #: A good document lost counts as much as so many bad ones kept.
 LOSS = 10
-#: Scale of the Gumbel noise against the log weight.
-NOISE = 0.01
+#: N-grams of the text whose importance weight a document has.
+LENGTH = 8
 #: Most n-grams that are counted at once.
 _BLOCK = 2000
 _KEYS = constants(8, 3)
@@ -148,25 +150,27 @@ def _gumbel(seed: int) -> Column:
     return -F.log(-F.log(draw))
 
 
-def resample(docs: DataFrame, model: Model, noise: float = NOISE, seed: int = 7) -> tuple[DataFrame, float]:
-    """Draw from ``docs(doc_id, text)`` by Gumbel top-k.
+def resample(docs: DataFrame, model: Model, k: int | None = None, seed: int = 7, length: float = LENGTH) -> tuple[DataFrame, float]:
+    """Draw ``k`` rows from ``docs(doc_id, text)`` by Gumbel top-k.
 
-    The key of a row is its log weight over ``noise`` plus Gumbel noise from a hash of
-    doc_id, and k is the number of rows whose weight is above the model's cut.  Result:
-    doc_id, log_weight, key, kept of every row, and the least key drawn.  Rows without
-    words have weight 0 and are drawn like others; equal rows share their fate; rows
-    without doc_id share their noise.
+    The key of a row is its log weight for ``length`` n-grams plus Gumbel noise from a hash
+    of doc_id.  Without ``k``, as many rows are drawn as have weights above the model's cut:
+    the cut sets the number, the draw says which; near the cut the noise decides.  Result:
+    doc_id, log_weight (per n-gram), key, kept of every row, and the least key drawn.  Rows
+    without words have weight 0 and are drawn like others; rows with equal keys share
+    their fate, so equal rows do; rows without doc_id share their noise.
     """
     weighed = docs.select("doc_id", log_weight(F.col("text"), model).alias("log_weight"))
-    keyed = durable(weighed.withColumn("key", F.col("log_weight") / noise + _gumbel(seed)))
-    k = keyed.where(F.col("log_weight") > model.cut).count()
+    keyed = durable(weighed.withColumn("key", F.col("log_weight") * length + _gumbel(seed)))
+    if k is None:
+        k = keyed.where(F.col("log_weight") > model.cut).count()
     ranked = number_within(keyed.select("key").withColumn("_all", F.lit(0)), "_all", [F.col("key").desc()], "_rank")
-    last = ranked.where(F.col("_rank") == k).first()
-    least = last["key"] if last else math.inf
+    last = ranked.where(F.col("_rank") <= k).agg(F.min("key").alias("key")).first() if k > 0 else None
+    least = last["key"] if last and last["key"] is not None else math.inf
     return keyed.withColumn("kept", F.col("key") >= least), least
 
 
-def select(docs: DataFrame, model: Model, noise: float = NOISE, seed: int = 7) -> DataFrame:
+def select(docs: DataFrame, model: Model, k: int | None = None, seed: int = 7, length: float = LENGTH) -> DataFrame:
     """The rows of ``docs`` that ``resample`` keeps, with all their columns, whatever their names."""
-    least = resample(docs, model, noise, seed)[1]
-    return docs.where(log_weight(F.col("text"), model) / noise + _gumbel(seed) >= least)
+    least = resample(docs, model, k, seed, length)[1]
+    return docs.where(log_weight(F.col("text"), model) * length + _gumbel(seed) >= least)

@@ -1,6 +1,8 @@
 """Language, quality, toxicity, SentencePiece: held-out accuracy, exact round trips, odd cases."""
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -126,6 +128,43 @@ def test_quality(spark):
     assert keys[sum(r["log_weight"] > model.cut for r in got.collect()) - 1] == least
 
 
+def test_quality_against_a_plain_version(spark):
+    """Weights recomputed from counts, the draw from a sort, for several k and seeds."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = quality.fit(docs, labels)
+    rows = docs.select("doc_id", "text").collect()
+    grams = {r["doc_id"]: quality._grams([r["text"]])[0].tolist() for r in rows}
+    drawn = {r["doc_id"] for r in labels.where("quality = 1").where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0).collect()}
+    raw, good = Counter(g for x in grams.values() for g in x), Counter(g for i, x in grams.items() if i in drawn for g in x)
+    share = sum(good.values()) / sum(raw.values())
+    ratio = {g: math.log((good[g] + 1) / (n * share + 1)) for g, n in raw.items()}
+    weight = {i: sum(ratio[g] for g in x) / max(len(x), 1) for i, x in grams.items()}
+    for seed, k in ((7, None), (7, 20), (8, 20), (9, 150)):
+        noise = {r[0]: r[1] for r in docs.select("doc_id", quality._gumbel(seed)).collect()}
+        got = {r["doc_id"]: r for r in quality.resample(docs, model, k, seed)[0].collect()}
+        assert all(abs(got[i]["log_weight"] - weight[i]) < 1e-6 for i in weight)
+        number = sum(w > model.cut for w in weight.values()) if k is None else k
+        best = sorted(weight, key=lambda i: -(quality.LENGTH * weight[i] + noise[i]))[:number]
+        assert {i for i, r in got.items() if r["kept"]} == set(best)
+
+
+def test_quality_noise_decides_near_the_cut(spark):
+    """Of weights all around the cut, rows below it are drawn and rows above it are not, others with another seed; far from it none changes."""
+    text = {0: "good fine text " * 8, 1: "##bad $$worse %%worst " * 8}
+    docs = spark.createDataFrame([(i, " ".join([text[0]] * (40 - i // 10) + [text[1]] * (i // 10))) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 200)) for i in range(400)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    draws = []
+    for seed in (1, 2):
+        rows = quality.resample(docs, model, 200, seed)[0].collect()
+        middle = sorted((r["log_weight"] for r in rows), reverse=True)[199]
+        assert sum(r["kept"] for r in rows) == 200
+        assert any(r["kept"] and r["log_weight"] < middle for r in rows) and any(not r["kept"] and r["log_weight"] > middle for r in rows)
+        draws.append({r["doc_id"] for r in rows if r["kept"]})
+    assert draws[0] != draws[1] and all(set(range(20)) <= d and not d & set(range(380, 400)) for d in draws)
+
+
 def test_quality_odd(spark):
     docs = data.docs(spark)
     labels = spark.createDataFrame([(0, 1), (1, 1), (2, 0), (3, 1), (None, 1), (9, None)], "doc_id long, quality int")

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from codesift.llm.components import components
 from codesift.llm.joins import BROADCAST_BYTES, keyed_join
 from codesift.llm.words import constants, mix, word_hashes
+from codesift.operators.ranking import number_within
 from codesift.session import durable
 
 SHINGLE = 5
@@ -108,6 +109,7 @@ def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(
                 {
                     "doc_id": batch["doc_id"].iloc[part].to_numpy(),
+                    "mark": batch["mark"].iloc[part].to_numpy(),
                     "n": [len(s) for s in sets],
                     "set_id": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
                     "bands": list(bands),
@@ -117,9 +119,13 @@ def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), set_id, bands (keys) and signature (a byte per slot) of ``docs(doc_id, text)``."""
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInPandas(_signed, "doc_id long, n long, set_id binary, bands array<long>, signature binary")
+    """doc_id, mark (hash of the text), n (set size), set_id, bands (keys) and signature (a byte per slot) of ``docs(doc_id, text)``."""
+    return _marked(docs).mapInPandas(_signed, "doc_id long, mark long, n long, set_id binary, bands array<long>, signature binary")
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("mark"))
 
 
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -272,21 +278,49 @@ def across(docs: DataFrame, members: DataFrame, parts: DataFrame, chosen: DataFr
     return texts.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInPandas(_across, "a long, b long")
 
 
+def _named_sets(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The distinct sets, each with a number of its own, and their texts under these numbers.
+
+    ``(set_id, sid, doc_id, mark, rows)`` and ``(doc_id, text)``, where doc_id is the number.
+    A set's number is its first doc_id.  Where a doc_id occurs with several texts it is a
+    number above all doc_ids, so that each of the texts is compared.
+    """
+    rows = signed.where(F.col("doc_id").isNotNull())
+    sets = rows.where("n > 0").groupBy("set_id").agg(F.min(F.struct("doc_id", "mark")).alias("f"), F.count("*").alias("rows"))
+    sets = durable(sets.select("set_id", "f.doc_id", "f.mark", "rows"))
+    several = rows.groupBy("doc_id").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi"), F.count("*").alias("rows")).where("lo <> hi")
+    several = durable(several.select("doc_id", "rows", F.lit(True).alias("several")))
+    texts = _marked(docs).where(F.col("doc_id").isNotNull())
+    if several.isEmpty():
+        return sets.withColumn("sid", F.col("doc_id")), texts.select("doc_id", "text")
+    above = rows.agg(F.max("doc_id")).first()[0]
+    again = sets.join(several.select("doc_id"), "doc_id", "left_semi").withColumn("_all", F.lit(0))
+    again = number_within(again, "_all", [F.col("set_id")], "sid")
+    again = durable(again.select("set_id", "doc_id", "mark", "rows", (F.col("sid") + above).alias("sid")))
+    sets = durable(sets.join(several.select("doc_id"), "doc_id", "left_anti").withColumn("sid", F.col("doc_id")).unionByName(again))
+    texts = keyed_join(texts, several, ["doc_id"], "left", 32, ["mark"]).drop("rows")
+    texts = keyed_join(texts, again.select("doc_id", "mark", "sid", "rows"), ["doc_id", "mark"], "left", 48, ["text"])
+    named = F.when(F.col("several"), F.col("sid")).otherwise(F.col("doc_id"))
+    return sets, texts.select(named.alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
+
+
 def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
-    """Links ``(a, b)`` that connect what is connected, from the signatures of ``docs``; equal sets by their first document."""
-    first = signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"))
-    first = durable(first)
+    """Links ``(a, b)`` that connect what is connected, from the signatures of ``docs``; ends above all doc_ids stand for sets."""
+    sets, texts = _named_sets(docs, signed)
+    sets = durable(sets)
     same = signed.where("n > 0").select("set_id", F.col("doc_id").alias("b"))
-    same = keyed_join(same, first.where("rows > 1").withColumnRenamed("doc_id", "a"), ["set_id"], "inner", 64, ["b"]).where("a <> b").select("a", "b")
-    chosen = durable(signed.join(first.select("set_id", "doc_id"), ["set_id", "doc_id"]).dropDuplicates(["doc_id"]).select("doc_id", "n", "bands", "signature"))
+    shared = sets.where("rows > 1 OR sid <> doc_id").select("set_id", F.col("sid").alias("a"), "rows")
+    same = keyed_join(same, shared, ["set_id"], "inner", 64, ["b"]).where("a <> b").select("a", "b")
+    chosen = signed.join(sets.select("set_id", "doc_id", "mark", "sid"), ["set_id", "doc_id", "mark"]).dropDuplicates(["sid"])
+    chosen = durable(chosen.select(F.col("sid").alias("doc_id"), "n", "bands", "signature"))
     banded = chosen.select("doc_id", "n", F.posexplode("bands").alias("band", "key"))
     groups = banded.groupBy("band", "key").agg(F.min(F.struct("doc_id", "n")).alias("h"), F.count("*").alias("rows")).where("rows > 1")
     groups = durable(groups.select("band", "key", F.col("h.doc_id").alias("hub"), F.col("h.n").alias("hub_n"), "rows"))
     members = durable(keyed_join(banded, groups, ["band", "key"], "inner", 64, ["doc_id"]).drop("rows"))
     near = 100 * F.least("n", "hub_n") >= PERCENT * F.greatest("n", "hub_n")
     tested = durable(members.where(near & (F.col("doc_id") != F.col("hub"))).select("hub", "doc_id").distinct())
-    found = durable(verify(docs, tested))
-    return same.union(found).union(across(docs, members, durable(components(found)), chosen))
+    found = durable(verify(texts, tested))
+    return same.union(found).union(across(texts, members, durable(components(found)), chosen))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -294,7 +328,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Result: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id is
     component_id).  Texts without words, null or empty, have an empty set and are linked
-    with nothing.  Rows that share a doc_id are one document of the component.  Rows
+    with nothing.  Rows that share a doc_id are one document of the component,
+    linked with whatever any of their texts is near to.  Rows
     without doc_id are linked with nothing, have no component_id and are kept.  Other
     columns are not read.
     """

@@ -57,6 +57,18 @@ def test_near_duplicates_odd(spark):
     assert near_dedup.near_duplicates(data.empty(spark)).count() == 0 == near_dedup.drop_near_duplicates(data.empty(spark)).count()
 
 
+def test_every_text_of_a_repeated_id_is_compared(spark):
+    """Id 2 has two texts, each near another document, an empty one and a copy: all are one component, whatever the order of rows."""
+    base = [" ".join(f"{tag}{i}" for i in range(60)) for tag in "abc"]
+    near = [t + " end" for t in base]
+    rows = [(2, base[1]), (2, base[2]), (2, ""), (2, base[1]), (3, near[2]), (4, near[1]), (5, base[0]), (6, near[0]), (None, base[1]), (9, base[1].upper())]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+        got = sorted((r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(df).collect() if r["doc_id"] is not None)
+        assert got == [(2, 2)] * 4 + [(3, 2), (4, 2), (5, 5), (6, 5), (9, 2)]
+        assert sorted(str(r["doc_id"]) for r in near_dedup.drop_near_duplicates(df).collect()) == ["2", "5", "None"]
+
+
 def test_blocks_and_salts(spark, monkeypatch):
     """Large groups are compared in blocks and by several tasks."""
     monkeypatch.setattr(near_dedup, "SALT_ROWS", 3)

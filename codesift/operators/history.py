@@ -1,4 +1,9 @@
-"""Commit history.  Input: ``commits`` and ``commit_files`` of many repositories."""
+"""Commit history.  Input: ``commits`` and ``commit_files`` of many repositories.
+
+``committed_at`` is an instant.  Where ``commits`` has ``offset_minutes``, the committer's
+distance from UTC, dates are written in the committer's time with the offset behind;
+commits are in the order of their instants.
+"""
 
 from __future__ import annotations
 
@@ -15,10 +20,22 @@ def _newest() -> list[Column]:
     return [F.col("committed_at").desc(), F.col("hash").desc()]
 
 
+def _dates(commits: DataFrame) -> DataFrame:
+    """Commits with ``date``, the text of their date."""
+    if "offset_minutes" not in commits.columns:
+        return commits.withColumn("date", F.date_format("committed_at", "yyyy-MM-dd'T'HH:mm:ss"))
+    minutes = F.coalesce("offset_minutes", F.lit(0)).cast("int")
+    utc = F.to_utc_timestamp("committed_at", F.current_timezone())
+    local = F.date_format(utc + F.make_dt_interval(mins=minutes), "yyyy-MM-dd'T'HH:mm:ss")
+    size = F.abs(minutes)
+    hours, rest = (F.lpad(part.cast("string"), 2, "0") for part in (F.floor(size / 60), size % 60))
+    return commits.withColumn("date", F.concat(local, F.when(minutes < 0, "-").otherwise("+"), hours, F.lit(":"), rest))
+
+
 def head_commit(commits: DataFrame, repos: DataFrame) -> DataFrame:
     """Newest commit per repository; a repository without commits gets the error form."""
-    newest = commits.groupBy("repo_id").agg(
-        F.max_by(F.struct("hash", "message", "author", "committed_at"), F.struct("committed_at", "hash")).alias("head")
+    newest = _dates(commits).groupBy("repo_id").agg(
+        F.max_by(F.struct("hash", "message", "author", "date"), F.struct("committed_at", "hash")).alias("head")
     )
     missing = F.col("head").isNull()
     return (
@@ -29,7 +46,7 @@ def head_commit(commits: DataFrame, repos: DataFrame) -> DataFrame:
             F.coalesce("head.hash", F.lit("unknown")).alias("commit_hash"),
             text.strip(F.col("head.message")).alias("commit_message"),
             F.col("head.author").alias("author"),
-            F.date_format("head.committed_at", "yyyy-MM-dd'T'HH:mm:ss").alias("commit_date"),
+            F.col("head.date").alias("commit_date"),
             F.when(missing, F.lit("Failed to get repository info: no commits")).alias("error"),
         )
     )
@@ -84,7 +101,7 @@ def file_history(
     dated = skew_join(touched, commits.select("repo_id", "hash", "committed_at"), ["repo_id", "hash"], "inner", ["rel_path"], counts)
     by_date = Window.partitionBy("repo_id", "rel_path").orderBy(*_newest())
     listed = dated.withColumn("position", F.row_number().over(by_date)).where(F.col("position") <= newest)
-    details = commits.select("repo_id", "hash", text.strip(F.col("message")).alias("message"), "author").join(sizes, ["repo_id", "hash"])
+    details = _dates(commits).select("repo_id", "hash", text.strip(F.col("message")).alias("message"), "author", "date").join(sizes, ["repo_id", "hash"])
     joined = skew_join(listed, details, ["repo_id", "hash"], "inner", ["rel_path"], counts)
     return joined.select(
         "repo_id",
@@ -93,6 +110,6 @@ def file_history(
         "hash",
         "message",
         "author",
-        F.date_format("committed_at", "yyyy-MM-dd'T'HH:mm:ss").alias("date"),
+        "date",
         "files_changed",
     )

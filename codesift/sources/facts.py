@@ -11,7 +11,8 @@ import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 FACTS_DDL = (
@@ -114,3 +115,16 @@ def extract_facts(files: DataFrame) -> DataFrame:
             )
 
     return files.mapInArrow(parse, StructType(fields))
+
+
+class _CodeFacts:
+    """The facts of one text, as one row."""
+
+    def eval(self, content: str) -> Iterator[tuple]:
+        facts = file_facts(content or "")
+        yield tuple(facts.get(name) for name in _FACTS_ARROW.names)
+
+
+def register_facts(spark: SparkSession, name: str = "code_facts") -> None:
+    """Make the parser a table function of SQL: ``FROM files f, LATERAL code_facts(f.content) x``; rows travel as Arrow batches."""
+    spark.udtf.register(name, F.udtf(_CodeFacts, returnType=FACTS_DDL, useArrow=True))

@@ -197,6 +197,7 @@ INPUTS["commits"] = ("orders", [
     "'dev_' || CAST(o_custkey AS STRING) AS author",
     "'  ' || o_orderpriority || chr(10) AS message",
     "o_orderdate AS committed_at",
+    "CAST(CASE o_orderkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 330 ELSE -150 END AS INT) AS offset_minutes",
 ])
 INPUTS["commit_files"] = ("lineitem", [
     _REPO.format("l_orderkey"),

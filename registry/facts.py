@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from codesift.operators import facts as ops
 from codesift.operators import rules, scoring
-from codesift.sources.facts import extract_facts
+from codesift.sources.facts import extract_facts, register_facts
 from registry.base import load, query, sql
 
 
@@ -83,6 +83,21 @@ def a9(spark, sf_dir):
     return failed.select("repo_id", "rel_path", F.startswith("parse_error", F.lit("Syntax error: ")).alias("is_syntax_error"))
 
 
+# Numbers of imports, functions, classes, calls and variables, by form; form 5 cannot be parsed.
+_SIZES = "(0, 5, 0, 0, 0, 0), (1, 0, 1, 1, 0, 0), (2, 0, 1, 0, 2, 0), (3, 0, 0, 0, 0, 2), (4, 0, 0, 0, 5, 1), (5, NULL, NULL, NULL, NULL, NULL), (6, 3, 0, 0, 1, 0), (7, 0, 0, 0, 0, 0)"
+
+
+@query("x4_facts_in_sql", sql("fact_files", f"""WITH sizes(form, i, f, c, k, v) AS (VALUES {_SIZES})
+SELECT repo_id, rel_path, t.form = 5 AS failed, CAST(i AS INTEGER) AS imports, CAST(f AS INTEGER) AS functions, CAST(c AS INTEGER) AS classes, CAST(k AS INTEGER) AS calls, CAST(v AS INTEGER) AS variables
+FROM fact_files t JOIN sizes s ON t.form = s.form"""))
+def x4_sql(spark, sf_dir):
+    """The parser as a table function of a SQL query."""
+    register_facts(spark)
+    load(spark, sf_dir, "fact_files").createOrReplaceTempView("fact_files_in_sql")
+    lists = ", ".join(f"CASE WHEN x.{c} IS NOT NULL THEN size(x.{c}) END AS {c}" for c in ("imports", "functions", "classes", "calls", "variables"))
+    return spark.sql(f"SELECT f.repo_id, f.rel_path, x.parse_error IS NOT NULL AS failed, {lists} FROM fact_files_in_sql f, LATERAL code_facts(f.content) x")
+
+
 # --- scores -------------------------------------------------------------------
 # code_files, by form: nodes, functions, dangerous calls, hits, risky imports, distinct imports
 _FORMS = ["(0, 10, 0, 1, 0, 1)", "(1, 7, 0, 0, 1, 1)", "(2, 13, 1, 0, 1, 1)", "(3, 14, 0, 1, 0, 2)"]
@@ -112,7 +127,7 @@ def c3(spark, sf_dir):
 
 
 _SUMMARY = f"""{_SCORED}, totals AS (SELECT repo_id, count(*) AS files, sum(d) AS calls, sum(h) AS hits, avg(complexity) AS mc, avg(security) AS ms,
- max(r) AS imports, sum(fu) AS funcs FROM scored GROUP BY repo_id)"""
+ len(list_distinct(flatten(list(CASE form WHEN 3 THEN ['os', 'pickle'] ELSE ['os'] END)))) AS imports, sum(fu) AS funcs FROM scored GROUP BY repo_id)"""
 _LEVEL = """CASE WHEN files IS NULL THEN NULL WHEN round(ms, 10) >= 7 OR calls >= 10 OR hits >= 20 THEN 'high'
  WHEN round(ms, 10) >= 4 OR calls >= 5 OR hits >= 10 THEN 'medium' ELSE 'low' END"""
 

@@ -12,7 +12,7 @@ from codesift.functions import text
 from codesift.operators import contracts
 from codesift.operators import files as ops
 from codesift.session import checkpoint_dir
-from codesift.sources import tree
+from codesift.sources import tree, tree_source
 from registry.base import load, query, sql, table
 
 _EXCLUDED = r"(^|/)(\.git|__pycache__|\.pytest_cache|node_modules|\.venv|venv|env)/"
@@ -100,12 +100,13 @@ def s11(spark, sf_dir):
     return rows.withColumn("committed", F.date_format("committed_at", "yyyy-MM-dd HH:mm:ss")).drop("committed_at")
 
 
-@query("s1_source_tree_scan", """
-SELECT source AS repo_id, lang || '/_d' || CAST(doc_id % 7 AS VARCHAR) || '/' || CAST(doc_id AS VARCHAR) || '.py' AS rel_path,
+_TREE = """SELECT source AS repo_id, lang || '/_d' || CAST(doc_id % 7 AS VARCHAR) || '/' || CAST(doc_id AS VARCHAR) || '.py' AS rel_path,
  CAST(strlen(text) AS BIGINT) AS size_bytes,
- md5(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS digest FROM documents""")
-def s1(spark, sf_dir):
-    """Every document is written as a file to the shared folder, then read back as a tree."""
+ md5(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS digest FROM documents"""
+
+
+def _written_tree(spark, sf_dir):
+    """Every document as a file in the shared folder: the root, and the repositories."""
     shared = checkpoint_dir(spark).removeprefix("file:")
     if ":" in shared:
         raise ValueError("a source tree needs a folder that is mounted as a file system")
@@ -123,6 +124,20 @@ def s1(spark, sf_dir):
     path = F.concat("lang", F.lit("/_d"), (F.col("doc_id") % 7).cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".py"))
     documents = table(spark, sf_dir, "documents").select("source", path.alias("rel_path"), "text")
     documents.mapInArrow(write, "written bigint").write.format("noop").mode("overwrite").save()
-    repos = documents.select(F.col("source").alias("repo_id")).distinct()
+    return root, documents.select(F.col("source").alias("repo_id")).distinct()
+
+
+@query("s1_source_tree_scan", _TREE)
+def s1(spark, sf_dir):
+    """Every document is written as a file to the shared folder, then read back as a tree."""
+    root, repos = _written_tree(spark, sf_dir)
     found = tree.read_contents(tree.list_tree(spark, root, repos), root)
     return found.select("repo_id", "rel_path", "size_bytes", F.md5("content").alias("digest"))
+
+
+@query("s1_tree_source", f"SELECT * FROM ({_TREE}) WHERE rel_path NOT LIKE '%/\\_d3/%' ESCAPE '\\' AND size_bytes <= 102400 AND rel_path LIKE '%.py'")
+def s1_source(spark, sf_dir):
+    """The tree as a data source: a directory left out by name, gates on path and size that reach the walk."""
+    root, _ = _written_tree(spark, sf_dir)
+    found = ops.analyzable(tree_source.read_tree(spark, root, ["_d3"], contents=True).where(F.col("size_bytes") <= 100 * 1024)).where(F.col("rel_path").endswith(".py"))
+    return found.select("repo_id", "rel_path", "size_bytes", F.md5(text.decode_utf8(F.col("raw"))).alias("digest"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from codesift.operators import history as ops
 from registry.base import load, query, sql
 
-_DATE = "strftime(committed_at, '%Y-%m-%dT%H:%M:%S')"
+_DATE = """strftime(committed_at + to_minutes(offset_minutes), '%Y-%m-%dT%H:%M:%S') || CASE WHEN offset_minutes < 0 THEN '-' ELSE '+' END
+ || printf('%02d:%02d', abs(offset_minutes) // 60, abs(offset_minutes) % 60)"""
 _TRIM = "trim(message, ' ' || chr(10))"
 
 

@@ -1,12 +1,12 @@
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThan, In, IsNotNull, StringStartsWith
 
 from codesift.operators import contracts, files as ops
 from codesift.operators import dependencies
-from codesift.sources import tree
+from codesift.sources import tree, tree_source
 from codesift.sources.facts import extract_facts
 
-import pytest
-
 PATHS = [".git/h.py", "a/venv/b.py", "venvx/b.py", "pkg/__init__.py", "a.pyi", "A.PY", "env", "src/env", "x/.venv/y/z.py", "setup.py", "n.rs"]
 
 
@@ -89,3 +89,63 @@ def test_size_scan_reads_no_content(spark, files, tmp_path):
     files([("r", "a.py", "x")]).write.parquet(str(tmp_path / "t"))
     plan = ops.repo_sizes(spark.read.parquet(str(tmp_path / "t")))._jdf.queryExecution().toString()
     assert "ReadSchema: struct<repo_id:string,size_bytes:bigint>" in plan
+
+
+@pytest.fixture
+def source_tree(tmp_path):
+    """Three repositories; a deep one, excluded directories, links, an unreadable link."""
+    for repo, path in [("a", "x.py"), ("a", "p/q/r/s/deep.py"), ("a", "p/_init.md"), ("a", "p/q/.git/no.py"), ("a", "venv/no.py"), ("b", ".hidden.py"), ("b", "p/big.py"), ("c", "só/ü.py")]:
+        file = tmp_path / "root" / repo / path
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_bytes(b"\xff" * 300 if "big" in path else path.encode())
+    (tmp_path / "root/b/link.py").symlink_to("nowhere")
+    (tmp_path / "root/b/loop").symlink_to(tmp_path / "root")
+    (tmp_path / "root/file.py").write_text("not a repository")
+    return str(tmp_path / "root")
+
+
+ALL = {("a", "x.py"), ("a", "p/q/r/s/deep.py"), ("a", "p/_init.md"), ("b", ".hidden.py"), ("b", "p/big.py"), ("b", "link.py"), ("c", "só/ü.py")}
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 100])
+def test_tree_source(spark, source_tree, partitions):
+    """However many directories the driver opens, the rows are those of the walk."""
+    rows = tree_source.read_tree(spark, source_tree, [".git", "venv"], contents=True, partitions=partitions).collect()
+    assert sorted((r.repo_id, r.rel_path) for r in rows) == sorted(ALL)
+    by_path = {r.rel_path: r for r in rows}
+    assert bytes(by_path["só/ü.py"].raw).decode() == "só/ü.py" and by_path["p/big.py"].size_bytes == 300
+    assert by_path["link.py"].raw is None and "nowhere" in by_path["link.py"].read_error + "nowhere" and by_path["link.py"].size_bytes == 0
+
+
+def test_tree_source_agrees_with_the_listing(spark, source_tree):
+    repos = spark.createDataFrame([("a",), ("b",), ("c",)], "repo_id string")
+    want = tree.list_tree(spark, source_tree, repos)
+    got = tree_source.read_tree(spark, source_tree)
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() == len(ALL) + 2
+
+
+@pytest.mark.parametrize(("condition", "listed", "paths"), [
+    ("repo_id = 'b'", {("b", ""), ("b", "p")}, {".hidden.py", "p/big.py", "link.py"}),
+    ("repo_id IN ('c', 'z', '..') AND size_bytes > 3", {("c", ""), ("c", "só")}, {"só/ü.py"}),
+    ("rel_path LIKE 'p/q/%' AND repo_id = 'a'", {("a", ""), ("a", "p"), ("a", "p/q"), ("a", "p/q/r"), ("a", "p/q/r/s")}, {"p/q/r/s/deep.py"}),
+    ("rel_path = 'x.py'", {("a", ""), ("b", ""), ("c", "")}, {"x.py"}),
+    ("rel_path LIKE '%.py' AND size_bytes <= 100 AND rel_path <> 'x.py'", None, {"p/q/r/s/deep.py", ".hidden.py", "link.py", "só/ü.py"}),
+])
+def test_filters_reach_the_walk(spark, source_tree, monkeypatch, condition, listed, paths):
+    """Directories that a filter or a name rules out are never listed; all filters hold."""
+    table = tree_source.read_tree(spark, source_tree, [".git", "venv"]).where(condition)
+    assert {r.rel_path for r in table.collect()} == paths
+    if listed is None:
+        return
+    asked = []
+    entries = tree._entries
+    monkeypatch.setattr(tree_source, "_entries", lambda root, repo, folder: asked.append((repo, folder)) or entries(root, repo, folder))
+    pushed = {
+        "repo_id = 'b'": [EqualTo(("repo_id",), "b")], "rel_path = 'x.py'": [EqualTo(("rel_path",), "x.py")],
+        "repo_id IN ('c', 'z', '..') AND size_bytes > 3": [In(("repo_id",), ("c", "z", "..")), GreaterThan(("size_bytes",), 3)],
+        "rel_path LIKE 'p/q/%' AND repo_id = 'a'": [StringStartsWith(("rel_path",), "p/q/"), EqualTo(("repo_id",), "a")],
+    }[condition]
+    reader = tree_source.TreeReader({"path": source_tree, "excluded": ".git,venv", "partitions": "2"})
+    assert list(reader.pushFilters([*pushed, IsNotNull(("rel_path",))])) == [IsNotNull(("rel_path",))]
+    rows = [row for part in reader.partitions() for row in reader.read(part)]
+    assert {path for _, path, _ in rows} == paths and set(asked) == listed

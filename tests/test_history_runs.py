@@ -1,5 +1,8 @@
 import datetime as dt
 
+import pytest
+from pyspark.sql import functions as F
+
 from codesift.operators import history, runs
 
 
@@ -67,3 +70,23 @@ def test_stages_of_any_name_count(spark):
     )
     row = runs.run_table(spark.createDataFrame([("a", "u")], "repo_id string, url string"), runs.stage_log(events)).first()
     assert (row.status, row.agents_executed, row.agents_failed) == ("failure", ["repo_ingestion"], ["report_generation"])
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_dates_with_offsets(spark, zone):
+    """The newest instant counts, not the latest local time, whatever the session's time zone."""
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        rows = [("r", "a", 330, "2025-01-01 00:00:00"), ("r", "b", -150, "2025-01-01 01:00:00"), ("s", "c", None, "2025-03-01 12:00:00")]
+        table = spark.createDataFrame(rows, "repo_id string, hash string, offset_minutes int, at string").selectExpr(
+            "repo_id", "hash", "' m ' AS message", "'x' AS author", "to_utc_timestamp(to_timestamp(at), 'UTC') AS committed_at", "offset_minutes"
+        )
+        table = table.withColumn("committed_at", F.from_utc_timestamp("committed_at", F.current_timezone()))
+        repos = spark.createDataFrame([("r",), ("s",)], "repo_id string")
+        got = {r.repo_id: (r.commit_hash, r.commit_date) for r in history.head_commit(table, repos).collect()}
+        assert got == {"r": ("b", "2024-12-31T22:30:00-02:30"), "s": ("c", "2025-03-01T12:00:00+00:00")}
+        touched = table.select("repo_id", "hash", F.lit("f.py").alias("rel_path"))
+        dates = [r.date for r in history.file_history(table, touched).where("repo_id = 'r'").orderBy("position").collect()]
+        assert dates == ["2024-12-31T22:30:00-02:30", "2025-01-01T05:30:00+05:30"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

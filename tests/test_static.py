@@ -9,7 +9,7 @@ from codesift import settings
 from codesift.operators import facts as fact_ops
 from codesift.operators import patterns, rules, scoring
 from codesift.plans.audit import static_audit
-from codesift.sources.facts import extract_facts, file_facts
+from codesift.sources.facts import extract_facts, file_facts, register_facts
 
 
 def test_facts_of_one_file():
@@ -41,6 +41,16 @@ def test_empty_file_has_one_node():
     assert file_facts("")["ast_nodes"] == 1
 
 
+def test_facts_in_sql_are_those_of_the_table(spark, files):
+    codes = ["import a.b\n@d\nclass K(B): \n  def f(self): return eval('1')\nx = 1", "def f(:", "", "x = 1\0", "from . import y\nz = w = f()()"]
+    table = files([("r", f"{n}.py", code) for n, code in enumerate(codes)] + [("r", "null.py", None)])
+    register_facts(spark)
+    table.createOrReplaceTempView("files_in_sql")
+    got = spark.sql("SELECT f.repo_id, f.rel_path, f.size_bytes, x.* FROM files_in_sql f, LATERAL code_facts(f.content) x")
+    want = extract_facts(table)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 6
+
+
 def test_dangerous_calls_are_exact_names(spark, files):
     rows = files([("r", "a.py", "import pickle as p\nx.eval(1)\nopen('f')\np.loads(1)\npickle.loads(1, 2)\nsubprocess.run\n")])
     got = fact_ops.dangerous_calls(extract_facts(rows)).collect()

@@ -15,13 +15,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NGRAM = 3
 BITS = 13
-#: Bounds of the fit: languages (the most frequent), training texts and landmarks of each.
-MAX_LANGUAGES, SAMPLE, LANDMARKS = 200, 300, 32
+#: Bounds of the fit: training texts and landmarks of a language, and of all together where there are many languages (each has one at least).
+SAMPLE, LANDMARKS, SAMPLES, ALL_LANDMARKS = 300, 32, 60_000, 6400
 RIDGE = 1e-3
 UNKNOWN = "und"
 #: Code points of a long text whose n-grams are marked at once.
@@ -84,30 +84,35 @@ def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"lang": batch["lang"], "draw": batch["draw"], "bits": bits})
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, max_languages: int = MAX_LANGUAGES) -> Model:
+def fit(labelled: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS) -> Model:
     """Fit on ``labelled(text, lang)``.
 
-    Rows without language or without a letter teach nothing.  Of each of the
-    ``max_languages`` most frequent languages about ``sample`` texts are drawn by a hash of
-    the text; only their presence bits come to the driver, 1 KB each.
+    Rows without language or without a letter teach nothing.  Every language is learned:
+    of each, the ``sample`` distinct texts that come first by a hash of the text, fewer if
+    all languages together have more than SAMPLES.  Only their presence bits come to the
+    driver, 1 KB each; copies of a text count once, and landmarks differ.
     """
     rows = labelled.select("text", "lang").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    counts = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(max_languages).collect()
-    if not counts:
+    rows = rows.withColumn("draw", F.xxhash64("text"))
+    languages = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+    if not languages:
         return Model([], np.zeros((0, (1 << BITS) // 8), np.uint8), np.zeros((0, 0)))
-    rate = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(float(sample / r["count"])))])
-    drawn = rows.withColumn("draw", draw).where(F.col("draw") < rate[F.col("lang")])
-    got = drawn.mapInPandas(_packed, "lang string, draw double, bits binary").toPandas()
-    got = got.sort_values(["lang", "draw", "bits"]).groupby("lang").head(2 * sample)
-    languages = sorted(got["lang"].unique())
+    sample = max(1, min(sample, SAMPLES // len(languages)))
+    landmarks = max(1, min(landmarks, ALL_LANDMARKS // len(languages)))
+    # The limit of each language is applied before the shuffle as well.
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    texts = rows.select("lang", "draw").distinct().withColumn("_n", first).where(F.col("_n") <= sample).select("lang", "draw")
+    drawn = rows.join(F.broadcast(texts), ["lang", "draw"])
+    got = drawn.mapInPandas(_packed, "lang string, draw long, bits binary").groupBy("lang", "draw").agg(F.min("bits").alias("bits")).toPandas()
+    got = got.sort_values(["lang", "draw"], ignore_index=True)
     bits = np.stack([np.frombuffer(x, np.uint8) for x in got["bits"]])
-    marks = bits[(got.groupby("lang").cumcount() < landmarks).to_numpy()]
+    different = got[~got.duplicated(["lang", "bits"])]
+    marks = bits[different.index[different.groupby("lang").cumcount() < landmarks]]
     model = Model(languages, marks, np.zeros((len(marks), len(languages))))
     unit = model.landmark_matrix().astype(float)
     texts = Model(languages, bits, model.weights).landmark_matrix().astype(float)
     cross, inner = texts @ unit.T, unit @ unit.T
-    is_lang = np.array([[lang == x for x in languages] for lang in got["lang"]])
+    is_lang = got["lang"].to_numpy()[:, None] == np.array(languages, dtype=object)
     # Every language weighs the same; targets are +1 and -1.
     share = (is_lang / np.maximum(1, is_lang.sum(axis=0))).sum(axis=1) / len(languages)
     goal = np.where(is_lang, 1.0, -1.0)
@@ -143,5 +148,9 @@ def predict(text: Column, model: Model) -> Column:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred and score of every row of ``docs(doc_id, text)``; other columns are not read."""
+    """doc_id, lang_pred and score of every row of ``docs(doc_id, text)``, as ``predict`` has them.
+
+    Rows with the same or no doc_id are classified each by itself; texts of any length
+    whole; equal texts alike.  Other columns are not read; an empty table gives an empty result.
+    """
     return docs.select("doc_id", predict(F.col("text"), model).alias("_p")).select("doc_id", "_p.lang_pred", "_p.score")

@@ -44,6 +44,47 @@ def test_language(spark):
     assert language.identify(data.empty(spark), model).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    """More languages than the landmarks' bound allows in full, one of them with a hot copied text."""
+    rng = random.Random(4)
+    words = {f"l{n:03}": ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(12)] for n in range(230)}
+    rows = [(lang, " ".join(rng.choices(own, k=30))) for lang, own in words.items() for _ in range(6)]
+    rows += [("l000", "always the very same text")] * 3000 + [(None, "x"), ("l001", None), ("zz", "123")]
+    model = language.fit(spark.createDataFrame(rows, "lang string, text string").repartition(6))
+    assert model.languages == sorted(words) and len(model.landmarks) <= language.ALL_LANDMARKS
+    tried = spark.createDataFrame([(n, lang, " ".join(rng.choices(own, k=30))) for n, (lang, own) in enumerate(words.items())], "doc_id long, lang string, text string")
+    found = language.identify(tried, model).join(tried, "doc_id").collect()
+    assert np.mean([r["lang_pred"] == r["lang"] for r in found]) > 0.95
+
+
+def test_kernel_ridge_by_brute_force(spark):
+    """Scores are those of ridge regression in the landmarks' span, with kernels counted over sets of n-grams."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang IS NOT NULL").orderBy("doc_id").limit(40)
+    rows = docs.collect()
+    model = language.fit(docs.select("text", "lang"), landmarks=5)
+    sets = {r["text"]: frozenset(np.flatnonzero(language.presence_matrix([r["text"]])[0]).tolist()) for r in rows}
+    order = {r["text"]: r["draw"] for r in docs.select("text", F.xxhash64("text").alias("draw")).collect()}
+    train = sorted({(r["lang"], order[r["text"]], r["text"]) for r in rows if any(c.isalpha() for c in r["text"])})
+    marks = []
+    for lang in model.languages:
+        own = list(dict.fromkeys(sets[t] for x, _, t in train if x == lang))
+        marks += own[:5]
+
+    def kernel(a, b):
+        return len(a & b) / max(1.0, math.sqrt(len(a) * len(b)))
+
+    cross = np.array([[kernel(sets[t], m) for m in marks] for *_, t in train])
+    inner = np.array([[kernel(a, b) for b in marks] for a in marks])
+    counts = Counter(lang for lang, *_ in train)
+    share = np.array([1 / counts[lang] / len(counts) for lang, *_ in train])
+    goal = np.array([[1.0 if lang == x else -1.0 for x in model.languages] for lang, *_ in train])
+    weights = np.linalg.solve(cross.T @ (share[:, None] * cross) + language.RIDGE * inner + 1e-9 * np.eye(len(marks)), cross.T @ (share[:, None] * goal))
+    margin = np.array([[kernel(sets[r["text"]], m) for m in marks] for r in rows]) @ weights
+    want = np.clip((margin.max(axis=1) + 1) / 2, 0, 1)
+    got = {r["doc_id"]: r["score"] for r in language.identify(docs, model).collect()}
+    assert max(abs(got[r["doc_id"]] - w) for r, w in zip(rows, want, strict=True) if any(c.isalpha() for c in r["text"])) < 2e-3
+
+
 def test_language_without_labels(spark):
     model = language.fit(data.empty(spark).select("text", "lang"))
     assert {r["lang_pred"] for r in language.identify(data.docs(spark), model).collect()} == {"und"}

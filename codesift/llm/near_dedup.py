@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codesift.llm.batches import bound_batches, give_back
 from codesift.llm.components import components
 from codesift.llm.joins import BROADCAST_BYTES, keyed_join
 from codesift.llm.words import constants, mix, word_hashes
@@ -116,10 +117,12 @@ def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     "signature": [s.tobytes() for s in coarse],
                 }
             )
+    give_back()
 
 
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, mark (hash of the text), n (set size), set_id, bands (keys) and signature (a byte per slot) of ``docs(doc_id, text)``."""
+    bound_batches(docs.sparkSession)
     return _marked(docs).mapInPandas(_signed, "doc_id long, mark long, n long, set_id binary, bands array<long>, signature binary")
 
 

@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codesift.llm.batches import bound_batches, give_back
 from codesift.llm.words import constants, mix, word_hashes
 from codesift.operators.ranking import number_within
 from codesift.session import durable
@@ -80,6 +81,7 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group, rows in ((0, batch["text"]), (1, batch["text"][good])):
             for block in _blocks(list(rows)):
                 totals[group] += np.bincount(_grams(block)[0], minlength=1 << BITS)
+    give_back()
     group, bucket = np.nonzero(totals)
     yield pd.DataFrame({"group": group, "bucket": bucket, "n": totals[group, bucket]})
 
@@ -105,6 +107,7 @@ def log_weight(text: Column, model: Model) -> Column:
                 n = np.bincount(at, minlength=len(block))
                 out.append(np.bincount(at, ratio[buckets].astype(float), minlength=len(block)) / np.maximum(n, 1))
             yield pd.Series(np.round(np.concatenate(out), 9) if out else np.zeros(0))
+        give_back()
 
     return weigh(F.coalesce(text, F.lit("")))
 
@@ -117,6 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     the cut, on as many others, is where the two error rates are equal.  Without good
     labels every weight is 0 and nothing is rejected.
     """
+    bound_batches(docs.sparkSession)
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     total = rows.count()
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))

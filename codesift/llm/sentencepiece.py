@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codesift.llm.batches import bound_batches, give_back
+
 MARK = "▁"
 #: Most words in a task's table, and characters of a word that is kept there.
 TABLE, LONGEST = 1 << 17, 200
@@ -126,7 +128,10 @@ def encode(docs: DataFrame, model_file: str) -> DataFrame:
                 rows = list(table.encode([x or "" for x in part.column(1).to_pylist()]))
                 ids, back = pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, back], names=["doc_id", "ids", "decoded"])
+        del table
+        give_back()
 
+    bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, decoded string")
 

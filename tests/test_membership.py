@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codesift.operators import files as file_ops
 from codesift.operators import joins, membership, prompts
+from codesift.plans.audit import audit
 from codesift.sources import bucketed
 
 
@@ -81,3 +82,11 @@ def test_contexts_meet_bucketed_files(spark, many, monkeypatch, max_bytes):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql(f"DROP TABLE IF EXISTS bucketed_files_{max_bytes}")
+
+
+def test_address_check_is_an_argument(spark, files):
+    rows = files([("r1", "a.py", "x = 1\n"), ("r2", "a.py", "x = 1\n")])
+    urls = spark.createDataFrame([("r1", "ftp://h/o/r"), ("r2", "https://h/o/r")], "repo_id string, url string")
+    result = audit(rows, urls, F.lit("2025-01-02 03:04:05").cast("timestamp"), is_valid=lambda url: url.startswith("ftp:"))
+    assert {r.repo_id: r.status for r in result.runs.collect()} == {"r1": "success", "r2": "failure"}
+    assert [(r.repo_id, r.error) for r in result.rejected.collect()] == [("r2", "Invalid input data")]

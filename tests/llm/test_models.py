@@ -151,6 +151,19 @@ def test_toxicity(spark):
     assert toxicity.classify(data.empty(spark), model).count() == 0
 
 
+def test_copies_share_a_fold(spark):
+    """Exact copies always, texts with one word changed mostly; the folds are about equal."""
+    rng = random.Random(11)
+    base = [" ".join(rng.choice("abcdefghij") * rng.randint(1, 6) for _ in range(80)) for _ in range(300)]
+    near = [" ".join(["other", *t.split()[1:]]) for t in base]
+    rows = [(i, t) for i, t in enumerate([*base, *base, *near, "", "one two", "One  two"])]
+    got = [r[1] for r in sorted(spark.createDataFrame(rows, "i int, text string").select("i", toxicity.fold_of(F.col("text"))).collect())]
+    assert got[:300] == got[300:600] and set(got) == set(range(toxicity.FOLDS))
+    assert sum(a == b for a, b in zip(got[:300], got[600:900], strict=True)) >= 280
+    assert max(got[:300].count(k) for k in range(toxicity.FOLDS)) < 90
+    assert got[-1] == got[-2]
+
+
 def test_toxicity_without_labels(spark):
     docs, labels = labelled(spark)
     model = toxicity.fit(docs, labels.limit(0), {"toxic": F.col("toxic") == 1})

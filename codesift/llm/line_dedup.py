@@ -123,7 +123,11 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     at = F.struct("_id", "_text", "start")
     first = durable(found.groupBy(*interval).agg(F.min(at).alias("first"), F.count("*").alias("rows")).where(F.col("rows") > 1))
     later = keyed_join(found, first, interval, "inner", 96, ["_id", "start"]).where(at > F.col("first"))
-    later = later.select("_id", "_text", F.explode(F.sequence("start", (F.col("start") + F.col("n") - 1).cast("int"))).alias("idx")).distinct()
+    # Of each run the lines beyond those of the runs before it, so that a line comes once.
+    later = later.select("_id", "_text", "start", (F.col("start") + F.col("n") - 1).cast("int").alias("until"))
+    before = Window.partitionBy("_id", "_text").orderBy("start", "until").rowsBetween(Window.unboundedPreceding, -1)
+    later = later.withColumn("fresh", F.greatest("start", F.max("until").over(before) + 1)).where(F.col("fresh") <= F.col("until"))
+    later = later.select("_id", "_text", F.explode(F.sequence("fresh", "until")).alias("idx"))
     gone = later.join(lines.select("_id", "_text", "idx", "line").distinct(), ["_id", "_text", "idx"])
     sets = gone.groupBy("_id", "_text").agg(F.sort_array(F.collect_list("line")).alias("_at"))
     last = F.size("_at") - 1

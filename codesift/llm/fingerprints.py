@@ -1,7 +1,9 @@
 """Merkle-tree fingerprints of documents: sentences, paragraphs, sections, root.
 
 A paragraph is a line of the text; a paragraph's children are its sentences (a sentence
-ends with ``.``, ``!`` or ``?`` and a space).  Every node is a SHA-256: a sentence's of its
+ends with ``.``, ``!`` or ``?`` and a space).  A sentence is cut at the first blank or mark
+of ``CUT`` after 64 code points, and so on; where there is none, after 256.  A long text without sentence
+ends so has many leaves too, and cuts depend on content.  Every node is a SHA-256: a sentence's of its
 text, a paragraph's of its sentences' digests.  A section is a run of paragraphs that ends
 with one whose digest ends in 0, 1, 2 or 3, so boundaries depend on content and an inserted
 paragraph changes one section.  A section's digest is that of its paragraphs' digests, the
@@ -18,6 +20,10 @@ from pyspark.sql import functions as F
 RANGES = 4
 
 
+#: Pieces of a sentence: 65 to 256 code points up to a blank or mark, else at most 256.
+CUT = "(?s).{64,255}?[ ,;:、。，；：！？]|.{1,256}"
+
+
 def _digest(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 
@@ -29,9 +35,15 @@ def sentences(paragraph: Column) -> Column:
     return F.split(marked, "\n", -1)
 
 
+def pieces(paragraph: Column) -> Column:
+    """The sentences of a paragraph, long ones cut; an empty sentence is one piece."""
+    cut = F.transform(sentences(paragraph), lambda s: F.when(s == "", F.array(s)).otherwise(F.regexp_extract_all(s, F.lit(CUT), F.lit(0))))
+    return F.flatten(cut)
+
+
 def paragraphs(text: Column) -> Column:
     """Array of paragraphs, each a struct of its digest and its sentences' digests."""
-    split = F.transform(F.split(text, "\n", -1), lambda p: F.transform(sentences(p), _digest))
+    split = F.transform(F.split(text, "\n", -1), lambda p: F.transform(pieces(p), _digest))
     return F.transform(split, lambda leaves: F.struct(_digest(F.array_join(leaves, ",")).alias("digest"), leaves.alias("leaves")))
 
 

@@ -147,8 +147,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 MORE: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_located_edits": op2_located_edits}
 
 #: A tree in SQL: sentence, paragraph, section and root digests of the text column ``t``.
-_TREE = r"""
-    list_transform(string_split(replace(replace(replace(p, '. ', '. ' || chr(10)), '! ', '! ' || chr(10)), '? ', '? ' || chr(10)), chr(10)), lambda s: sha256(s))"""
+_TREE = rf"""
+    list_transform(flatten(list_transform(string_split(replace(replace(replace(p, '. ', '. ' || chr(10)), '! ', '! ' || chr(10)), '? ', '? ' || chr(10)), chr(10)),
+     lambda s: CASE WHEN s = '' THEN [s] ELSE regexp_extract_all(s, '{fingerprints.CUT}') END)), lambda s: sha256(s))"""
 
 
 def _tree_sql(text: str, name: str) -> str:

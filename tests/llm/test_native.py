@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -13,6 +14,9 @@ from codesift.llm import fingerprints, line_dedup, mixing, sharding
 from . import data
 
 
+CUT = re.compile("(?s).{64,255}?[ ,;:、。，；：！？]|.{1,256}")
+
+
 def nodes(plan):
     return [x for x in ("Python", "Pandas", "Arrow") if x in plan]
 
@@ -29,7 +33,7 @@ def tree(text):
     for p in text.split("\n"):
         for end in (". ", "! ", "? "):
             p = p.replace(end, end + "\n")
-        leaves.append([sha(x) for x in p.split("\n")])
+        leaves.append([sha(x) for s in p.split("\n") for x in (re.findall(CUT, s) or [""])])
     joined = ""
     digests = [sha(",".join(x)) for x in leaves]
     for d in digests[:-1]:
@@ -58,6 +62,21 @@ def test_fingerprints(spark):
         assert row["near_edited"] == like(own, edited) and row["near_next"] == like(own, after)
 
 
+def test_texts_without_sentence_ends(spark):
+    """The kept half of a long text shows, with blanks, without, and beyond the basic plane; so does the text around an insertion."""
+    rng = random.Random(4)
+    blanks = " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(3000))
+    solid = "".join(rng.choices("qwertyuiop", k=20_000))
+    wide = "".join(rng.choices("𠀀𠀁𠀂漢字かな😀", k=5000))
+    rows = [(3, blanks), (2, solid), (1, wide)]
+    got = {r["doc_id"]: r for r in fingerprints.compare_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for (i, own), (_, after) in zip(rows, [*rows[1:], rows[0]], strict=True):
+        edited = own[: len(own) - len(own) // 2] + after[: len(own) // 2]
+        assert got[i]["fingerprint"] == tree(own)[0] and got[i]["edited_fingerprint"] == tree(edited)[0]
+        assert got[i]["near_edited"] == like(own, edited) > 0.25 and got[i]["near_next"] < 0.1
+    assert like(blanks, blanks[:5000] + "an insertion " + blanks[5000:]) > 0.9
+
+
 def test_fingerprints_odd(spark):
     got = fingerprints.compare_edits(data.docs(spark)).collect()
     assert len(got) == len(data.rows())

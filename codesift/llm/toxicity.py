@@ -173,9 +173,14 @@ def fold_of(text: Column, folds: int = FOLDS) -> Column:
     Exact copies share a fold; texts that have a share of their runs in common do so with
     that probability or by chance, so that probabilities are out of fold for copies too.
     """
-    words = F.split(F.lower(text), r"\s+")
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - SHINGLE + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, SHINGLE)))
-    return F.pmod(F.array_min(runs), F.lit(folds)).cast("int")
+    words = F.array(F.split(F.lower(text), r"\s+"))
+
+    def least(w: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(w) - SHINGLE, F.lit(0)))
+        return F.array_min(F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)])))
+
+    # Within the lambda the words are a value; as an expression they would be split anew for every run.
+    return F.pmod(F.transform(words, least)[0], F.lit(folds)).cast("int")
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample: int = SAMPLE, features: int = FEATURES) -> Model:

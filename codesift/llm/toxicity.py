@@ -126,32 +126,39 @@ class Rows:
     def times(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, w[self.column] * self.value, minlength=self.n) + self.dense @ w[self.width :]
 
-    def back(self, v: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.bincount(self.column, v[self.row] * self.value, minlength=self.width), v @ self.dense])
+    def filled(self) -> np.ndarray:
+        """As one dense matrix."""
+        dense = np.zeros((self.n, self.width))
+        dense[self.row, self.column] = self.value
+        return np.column_stack([dense, self.dense])
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def logistic(rows: Rows, y: np.ndarray, use: np.ndarray, steps: int = 200) -> np.ndarray:
-    """Weights of the balanced, ridge-penalised logistic regression on the rows ``use``, by accelerated gradient steps."""
-    yes, no = y[use].sum(), (~y[use]).sum()
-    weight = np.where(use, np.where(y, 0.5 / max(yes, 1), 0.5 / max(no, 1)), 0.0)
-    w = np.zeros(rows.width + rows.dense.shape[1])
-    if not yes or not no:
-        w[-1] = 10.0 if yes else -10.0
-        return w
+def logistic(x: np.ndarray, y: np.ndarray, use: np.ndarray, steps: int = 200) -> np.ndarray:
+    """Weights of balanced, ridge-penalised logistic regressions by accelerated gradient steps.
+
+    One regression per column of ``use``, on the rows that it marks, all in the same steps;
+    the last column of ``x`` is the constant.
+    """
+    yes, no = (use & y[:, None]).sum(0), (use & ~y[:, None]).sum(0)
+    weight = np.where(use, np.where(y[:, None], 0.5 / np.maximum(yes, 1), 0.5 / np.maximum(no, 1)), 0.0)
     # A bound of the curvature in each column; the logistic function bends by 1/4 at most.
-    size = rows.back(weight * rows.times(np.ones_like(w)))
-    step = 4 / np.maximum(size, 1e-6)
-    at, momentum = w.copy(), 1.0
+    step = 4 / np.maximum(x.T @ (weight * x.sum(1)[:, None]), 1e-6)
+    ridge = RIDGE / step
+    ridge[-1] = 0
+    w = np.zeros_like(step)
+    at, momentum = w, 1.0
     for _ in range(steps):
-        gradient = rows.back(weight * (sigmoid(rows.times(at)) - y)) + RIDGE * np.append(at[:-1], 0) / step
-        new = at - step * gradient
+        new = at - step * (x.T @ (weight * (sigmoid(x @ at) - y[:, None])) + ridge * at)
         after = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         at = new + (momentum - 1) / after * (new - w)
         w, momentum = new, after
+    one_sided = (yes == 0) | (no == 0)
+    w[:, one_sided] = 0
+    w[-1, one_sided] = np.where(yes > 0, 10.0, -10.0)[one_sided]
     return w
 
 
@@ -188,7 +195,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sampl
 
     ``categories``: boolean columns of ``labels`` by name, in the order of the chain; null
     is false.  About ``sample`` labelled documents, drawn by a hash of doc_id, are used;
-    their counts of features and lists of chosen features come to the driver, never texts.
+    their counts of features and lists of chosen features come to the driver, never texts;
+    there they are a matrix of 2 * sample rows and features * categories columns at most.
     Folds go by text (``fold_of``).  A document labelled twice has a category if either label has it.  Without labels the
     model predicts probability 0.
     """
@@ -203,6 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sampl
     schema = ", ".join(["feature string", "n_documents long", *[f"n_{c} long" for c in names]])
     counts = texts.select("text", *names).mapInPandas(_counted(names), schema).groupBy("feature")
     counts = counts.agg(*[F.sum(f"n_{c}").alias(f"n_{c}") for c in ["documents", *names]]).where(F.col("n_documents") >= LEAST)
+    counts = durable(counts)
     total = texts.agg(F.count("*").alias("n"), *[F.count_if(c).alias(c) for c in names]).first()
     model = Model(names)
     chosen: set[str] = set()
@@ -218,17 +227,16 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sampl
     schema = ", ".join(["doc_id long", "fold int", *[f"{c} boolean" for c in names], "columns array<int>", "values array<double>"])
     got = texts.select("doc_id", "fold", *names, "text").mapInPandas(_listed(model.columns), schema).toPandas()
     got = got.sort_values("doc_id", ignore_index=True)
-    matrix = Rows(list(got["columns"]), list(got["values"]), len(model.columns))
-    fold = got["fold"].to_numpy()
-    everything = np.ones(len(got), bool)
+    x = Rows(list(got["columns"]), list(got["values"]), len(model.columns)).filled()
+    fold = got["fold"].to_numpy(int)
+    use = np.column_stack([np.ones(len(got), bool), *[fold != k for k in range(FOLDS)]])
     for c in names:
         y = got[c].to_numpy(bool)
-        model.weights.append(logistic(matrix, y, everything))
-        held_out = np.zeros(len(got))
-        for k in range(FOLDS):
-            held_out[fold == k] = sigmoid(matrix.times(logistic(matrix, y, fold != k)))[fold == k]
+        w = logistic(x, y, use)
+        held_out = sigmoid(x @ w)[np.arange(len(got)), 1 + fold]
+        model.weights.append(w[:, 0])
         model.thresholds.append(_threshold(held_out, y))
-        matrix.add(held_out)
+        x = np.insert(x, -1, held_out, axis=1)
     return model
 
 

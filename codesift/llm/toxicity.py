@@ -81,6 +81,8 @@ def _counted(categories: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterat
                 for name, counter in totals.items():
                     if name == "documents" or batch[name].iat[i]:
                         counter.update(found)
+        if not totals["documents"]:
+            return
         frame = pd.DataFrame({"feature": list(totals["documents"])})
         for name, counter in totals.items():
             frame[f"n_{name}"] = [counter[f] for f in frame["feature"]]

@@ -159,25 +159,17 @@ def p8(spark, sf_dir):
     return _parsed(spark, sf_dir).where("detection_method = 'zero_day_analysis'")
 
 
-@query("p9_prefix_salvage", sql("responses", f"""WITH {_ELEMENTS}, counts AS (
- SELECT repo_id, rel_path, kind, count(*) AS items, CAST(count_if(bad IS NULL OR pos < bad) AS BIGINT) AS kept FROM (
-  SELECT *, min(CASE WHEN NOT ok THEN pos END) OVER (PARTITION BY repo_id, rel_path, kind) AS bad FROM marked) GROUP BY ALL)
-SELECT repo_id, rel_path, kind, CAST(items AS INTEGER) AS items, CAST(kept AS INTEGER) AS kept FROM counts"""))
-def p9(spark, sf_dir):
-    return _salvaged(spark, sf_dir).where("items > 0")
-
-
-@query("p9_prefix_salvage_all", sql("responses", f"""WITH {_ELEMENTS}, counts AS (
+_SALVAGED = sql("responses", f"""WITH {_ELEMENTS}, counts AS (
  SELECT repo_id, rel_path, kind, count(*) AS items, CAST(count_if(bad IS NULL OR pos < bad) AS BIGINT) AS kept FROM (
   SELECT *, min(CASE WHEN NOT ok THEN pos END) OVER (PARTITION BY repo_id, rel_path, kind) AS bad FROM marked) GROUP BY ALL)
 SELECT repo_id, rel_path, kind, CAST(items AS INTEGER) AS items, CAST(kept AS INTEGER) AS kept FROM counts
-UNION ALL SELECT repo_id, rel_path, kind, 0, 0 FROM cut WHERE regexp_full_match(cut, '\\[\\s*\\]')"""))
-def p9_all(spark, sf_dir):
-    """As ``p9_prefix_salvage``, with empty arrays."""
-    return _salvaged(spark, sf_dir)
+UNION ALL SELECT repo_id, rel_path, kind, 0, 0 FROM cut WHERE regexp_full_match(cut, '\\[\\s*\\]')""")
 
 
-def _salvaged(spark, sf_dir):
+@query("p9_prefix_salvage_all", _SALVAGED)
+@query("p9_prefix_salvage", _SALVAGED)
+def p9(spark, sf_dir):
+    """Items of every array and how many are kept, empty arrays too; the second name is of an earlier round."""
     read = _items(spark, sf_dir).where("items IS NOT NULL").withColumn("read", parse.read())
     kept = F.size(parse.valid_prefix(F.col("read"))).alias("kept")
     return read.select("repo_id", "rel_path", "kind", F.size("items").alias("items"), kept)

@@ -51,6 +51,27 @@ def test_facts_in_sql_are_those_of_the_table(spark, files):
     assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 6
 
 
+def test_copies_and_read_errors_of_a_batch(spark, files):
+    """Every row has the facts of its own text, copies, nulls and unread files among them."""
+    rows = [("r", f"{n}.py", ["eval(1)", None, "def f(:", "import a"][n % 4], "gone" if n % 8 == 3 else None) for n in range(40)]
+    table = spark.createDataFrame(rows, "repo_id string, rel_path string, content string, read_error string").coalesce(1)
+    got = {r.rel_path: (r.parse_error, r.imports, len(r.calls or [])) for r in extract_facts(table).collect()}
+    for _, path, code, error in rows:
+        facts = {"parse_error": error} if error else file_facts(code or "")
+        assert got[path] == (facts["parse_error"], facts.get("imports"), len(facts.get("calls", [])))
+
+
+def test_many_short_files_are_dealt_over_tasks(spark, tmp_path):
+    """A million short files may be one scan task; few rows stay unshuffled."""
+    from codesift.sources.spread import spread
+
+    spark.range(40_000).coalesce(1).selectExpr("id", "'x = 1' AS content").write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    sizes = [r["count"] for r in spread(table).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 20_000 and sum(sizes) == 40_000
+    assert spread(table.where("id < 10")).rdd.getNumPartitions() == 1
+
+
 def test_dangerous_calls_are_exact_names(spark, files):
     rows = files([("r", "a.py", "import pickle as p\nx.eval(1)\nopen('f')\np.loads(1)\npickle.loads(1, 2)\nsubprocess.run\n")])
     got = fact_ops.dangerous_calls(extract_facts(rows)).collect()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from codesift import settings
 from codesift.operators import rules as ops
+from codesift.sources.spread import spread
 from registry.base import load, query, quoted, sql
 
 # None of the six rules hits the supplied documents, so one rule is added.
@@ -34,7 +35,7 @@ _INPUTS = "hit_files code_files doc_files"
 
 def texts(spark, sf_dir):
     parts = [load(spark, sf_dir, name).select("repo_id", "rel_path", "content") for name in _INPUTS.split()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return spread(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
 
 @query("m1_rule_table", sql(_INPUTS, f"""WITH {_HITS}, rules(rule_id, pattern) AS (VALUES {', '.join(f'({n}, {quoted(p)})' for n, p in enumerate(PATTERNS))})

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from codesift.operators import findings, joins, ranking
+from registry.base import load
 
 
 def test_numbering_splits_a_hot_group(spark):
@@ -46,3 +47,11 @@ def test_salt_spreads_a_hot_key(spark):
 
 def test_report_order_is_total(spark):
     assert len(findings.report_order()) >= 6
+
+
+def test_ranking_sorts_by_plain_columns(spark, monkeypatch):
+    rows = load(spark, "/root/testdata/sf0.001", "findings")
+    seen = []
+    monkeypatch.setattr(findings, "number_within", lambda df, group, order, *more: seen.extend(order) or df)
+    findings.rank_findings(rows)
+    assert len(seen) == len(findings.report_order()) and not any("CASE" in str(c) or "coalesce" in str(c) for c in seen)

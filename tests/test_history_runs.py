@@ -34,6 +34,21 @@ def test_file_history(spark):
     assert [(r.hash, r.files_changed) for r in rows if r.rel_path == "g"] == [("h05", 2)]
 
 
+def test_file_history_of_hot_and_repeated_commits(spark):
+    """A commit with most of the files is broadcast, rows given twice count once, a commit listed twice is two entries."""
+    table = commits(spark, [("big", "x", 1), ("b", "y", 2), ("c", "z", 3), ("c", "z", 3)])
+    rows = [("r", "big", f"f{n}") for n in range(50)] * 2 + [("r", "b", "f0"), ("r", "b", None), ("r", "b", None), ("r", "c", "f0"), (None, "b", "f0")]
+    touched = spark.createDataFrame(rows, "repo_id string, hash string, rel_path string")
+    got = history.file_history(table, touched).collect()
+    assert len(got) == 54
+    assert [(r.position, r.hash, r.files_changed) for r in sorted(got, key=lambda r: r.position) if r.rel_path == "f0"] == [
+        (1, "c", 1), (2, "c", 1), (3, "b", 2), (4, "big", 50)]
+    assert [(r.position, r.hash, r.files_changed) for r in got if r.rel_path is None] == [(1, "b", 2)]
+    assert {(r.position, r.hash, r.files_changed) for r in got if r.rel_path not in (None, "f0")} == {(1, "big", 50)}
+    keys = touched.withColumn("_commit", F.xxhash64("repo_id", "hash"))
+    assert [r._commit for r in history._hot_commits(keys).collect()] == [keys.where("hash = 'big'").first()._commit]
+
+
 def test_stage_log_and_batch(spark):
     events = spark.createDataFrame(
         [("a", "report", 4, True, None), ("a", "ingestion", 1, True, None), ("a", "static_analysis", 2, False, "bad"),

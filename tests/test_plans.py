@@ -33,6 +33,11 @@ def test_top_rows_per_key_are_limited_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan(history.file_history(commits, load(spark, SF, "commit_files")))
 
 
+def test_files_meet_their_commit_once(spark):
+    text = plan(history.file_history(load(spark, SF, "commits"), load(spark, SF, "commit_files")))
+    assert text.count("FileScan parquet") == 2 and text.count("Exchange hashpartitioning") <= 3
+
+
 def test_figures_reduce_before_each_shuffle(spark):
     text = plan(risk.repo_figures(load(spark, SF, "findings"), load(spark, SF, "repos")))
     assert "partial_count" in text and "hashpartitioning(repo_id" in text

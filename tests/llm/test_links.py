@@ -227,6 +227,19 @@ def test_repeated_and_null_ids_of_vectors(spark):
     assert got == sorted([(5, 3, False), (3, 3, True), (3, 3, True), (9, 3, False), (None, None, True), (None, None, True), (7, 7, True)], key=str)
 
 
+def test_no_row_of_a_cluster_is_lost():
+    """The first beam finds all links within clusters; no row of a graph takes many more links than others."""
+    rng = np.random.default_rng(0)
+    x = np.repeat(rng.normal(size=(20, 64)), 150, axis=0) + 0.2 * rng.normal(size=(3000, 64))
+    x = np.concatenate([x, rng.normal(size=(3000, 64))])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True))[rng.permutation(len(x))]
+    graph = embeddings.Graph(x)
+    some = np.linspace(0, len(x) - 1, 512).astype(int)
+    q, rows = graph._linked(graph.x[some], graph.order[some], 0.9)
+    assert len(rows) > 200 and graph._recall(q, rows, embeddings.BEAM, 0.9) == 1.0
+    assert graph.links[0].shape[1] <= 2 * embeddings.DEGREE + embeddings.ATTACHED + 8
+
+
 def test_comparison_of_all_rows():
     x = hot_and_pairs(600, 200)
     graph = embeddings.Graph(x[:300])
